@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,3 +45,22 @@ def blob(values: np.ndarray) -> bytes:
 
 def unblob(column: pa.Array | pa.ChunkedArray, dtype=np.uint64) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype) for x in (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)]
+
+
+def annotate(docs: DataFrame, text_col: str, keep: list[str], function, added: str) -> DataFrame:
+    """The kept columns as the struct `row`, next to the columns that function makes of the texts.
+
+    function takes a pa.Array of texts and gives a list of arrays, one for each column in added. Keeping the
+    input's columns in a struct leaves them free to have any name.
+    """
+    held = F.struct(*[docs[c].alias(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    packed = docs.select(held.alias("row"), docs[text_col].cast("string").alias("text"))
+    schema = StructType([packed.schema["row"], *StructType.fromDDL(added).fields])
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *function(texts)], names=names)
+
+    return packed.mapInArrow(run, schema)

@@ -78,8 +78,8 @@ def slices(column: pa.Array, most: int = 4 << 20):
 class Words:
     """The words of a string column: byte ranges in one buffer, and where each text's words begin."""
 
-    def __init__(self, column: pa.Array, part: np.ndarray = SPACED, lower: bool = False):
-        data, self.offsets = buffer(column)
+    def __init__(self, column: pa.Array | tuple[np.ndarray, np.ndarray], part: np.ndarray = SPACED, lower: bool = False):
+        data, self.offsets = column if isinstance(column, tuple) else buffer(column)
         self.data = LOWER[data] if lower else data
         inside = part[self.data]
         first = inside.copy()

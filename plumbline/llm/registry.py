@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from plumbline.llm.decontamination import OP8_SQL, op8_decontamination
 from plumbline.llm.substring_dedup import op6_substring_dedup
+from plumbline.llm.warc import OP1_SQL, op1_warc
 
 QUERIES: dict[str, Callable] = {
+    "op1_warc": op1_warc,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_decontamination": op8_decontamination,
+}
+ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL,
+    "op8_decontamination": OP8_SQL,
 }
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable]:
