@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from plumbline.llm.decontamination import OP8_SQL, op8_decontamination
+from plumbline.llm.quality import op7_quality
 from plumbline.llm.substring_dedup import op6_substring_dedup
+from plumbline.llm.toxicity import op9_toxicity
 from plumbline.llm.warc import OP1_SQL, op1_warc
 
 QUERIES: dict[str, Callable] = {
     "op1_warc": op1_warc,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,

@@ -27,8 +27,10 @@ SIZES = (3, 4, 5, 6)
 SLICE = 1 << 20
 #: Texts of either class that the model is fitted on, at most.
 TRAIN_EACH = 2000
+#: Weight of class 1 in training: clean texts that are called toxic cost more than toxic ones that pass.
+TOXIC_SHARE = 0.4
 #: Added to Adam's divisor: gradients much below it move little, so that rare subwords aren't learnt by heart.
-FLOOR = 1e-4
+FLOOR = 1e-3
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,14 +127,12 @@ class Bags:
         self.n, self.doc, self.bucket = len(texts), key >> BITS, key & ((1 << BITS) - 1)
         self.share = (count / np.bincount(self.doc, count, minlength=self.n)[self.doc]).astype(np.float32)
 
-    def rows(self, chosen: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row numbers, bucket numbers and shares of the chosen texts; of buckets that are not known, nothing."""
-        place = np.full(self.n, -1)
-        place[chosen] = np.arange(len(chosen))
-        at = np.searchsorted(known, self.bucket)
-        keep = (place[self.doc] >= 0) & (known[np.minimum(at, len(known) - 1)] == self.bucket)
-        order = np.argsort(place[self.doc[keep]], kind="stable")
-        return place[self.doc[keep]][order], at[keep][order], self.share[keep][order]
+    def rows(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers, bucket numbers and shares, by row; of buckets that are not known, nothing."""
+        number = np.full(1 << BITS, -1)
+        number[known] = np.arange(len(known))
+        at = number[self.bucket]
+        return self.doc[at >= 0], at[at >= 0], self.share[at >= 0]
 
 
 def spread(values: np.ndarray, into: np.ndarray, size: int) -> np.ndarray:
@@ -144,12 +144,12 @@ def spread(values: np.ndarray, into: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def fit(rows: list[tuple[str, int]], width: int = 4, steps: int = 40, rate: float = 0.05, least: int = 3, seed: int = 7) -> Model:
-    """Train embeddings and softmax layer together by full-batch Adam; classes weigh alike.
+def fit(rows: list[tuple[str, int]], width: int = 4, epochs: int = 10, batch: int = 64, rate: float = 0.02, floor: float = FLOOR, least: int = 2, seed: int = 7) -> Model:
+    """Train embeddings and softmax layer together by Adam on small batches; class 1 weighs TOXIC_SHARE of all.
 
-    Buckets that fewer than `least` texts hold keep no embedding. An eighth of the rows is set aside; the step at
-    which its loss was least gives the model. With fewer than two classes the model gives every text the share of
-    class 1 (0 without rows).
+    Buckets that fewer than `least` texts, or one in 200, hold keep no embedding. An eighth of the rows is set
+    aside; the epoch after which its loss was least gives the model. With fewer than two classes the model gives
+    every text the share of class 1 (0 without rows).
     """
     labels = np.array([y for _, y in rows], np.int64)
     size = 1 << BITS
@@ -161,37 +161,42 @@ def fit(rows: list[tuple[str, int]], width: int = 4, steps: int = 40, rate: floa
     for c in (0, 1):
         members = rng.permutation(np.flatnonzero(labels == c))
         aside[members[: len(members) // 8]] = True
-    known = np.flatnonzero(np.bincount(bags.bucket[~aside[bags.doc]], minlength=size) >= least)
+    held = np.bincount(bags.bucket[~aside[bags.doc]], minlength=size)
+    known = np.flatnonzero(held >= max(least, len(rows) // 200))
     known = known if len(known) else np.arange(1)
-    parts = []
-    for chosen in (np.flatnonzero(~aside), np.flatnonzero(aside)):
-        y = labels[chosen]
-        parts.append((y, (0.5 / np.maximum(np.bincount(y, minlength=2), 1))[y].astype(np.float32), *bags.rows(chosen, known)))
-    y, weight, doc, bucket, share = parts[0]
-    by_bucket = np.argsort(bucket, kind="stable")
+    doc, bucket, share = bags.rows(known)
+    first = np.searchsorted(doc, np.arange(len(rows) + 1))
+    weight = (len(rows) * np.array([1 - TOXIC_SHARE, TOXIC_SHARE]) / np.bincount(labels, minlength=2))[labels].astype(np.float32)
     p = {"E": rng.normal(0, 0.01, (len(known), width)).astype(np.float32), "W": rng.normal(0, 1, (width, 2)).astype(np.float32), "b": np.zeros(2, np.float32)}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     scale = np.float32(100)  # of the layer's input: a telling subword is a small share of a text
 
-    def forward(y, weight, doc, bucket, share):
-        mean = spread(p["E"][bucket] * share[:, None], doc, len(y)) * scale
+    def forward(chosen: np.ndarray):
+        many = np.diff(first)[chosen]
+        row = np.repeat(np.arange(len(chosen)), many)
+        at = np.arange(len(row)) + np.repeat(first[chosen] - (np.cumsum(many) - many), many)
+        mean = spread(p["E"][bucket[at]] * share[at, None], row, len(chosen)) * scale
         logits = mean @ p["W"] + p["b"]
         probability = np.exp(logits - logits.max(1, keepdims=True))
         probability /= probability.sum(1, keepdims=True)
-        return mean, probability, float(-(weight * np.log(probability[np.arange(len(y)), y] + 1e-9)).sum())
-
-    best = (np.inf, None)
-    for t in range(1, steps + 1):
-        mean, error, _ = forward(y, weight, doc, bucket, share)
-        error[np.arange(len(y)), y] -= 1
-        error *= weight[:, None]
-        back = (error @ p["W"].T) * scale
-        grad = {"W": mean.T @ error, "b": error.sum(0), "E": spread(back[doc[by_bucket]] * share[by_bucket, None], bucket[by_bucket], len(known))}
-        for k, g in grad.items():
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.99 * v[k] + 0.01 * g * g
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + FLOOR)
-        loss = forward(*parts[1])[2] if aside.any() else -t
+        return row, at, mean, probability
+
+    best, t, train, test = (np.inf, None), 0, np.flatnonzero(~aside), np.flatnonzero(aside)
+    for _ in range(epochs):
+        order = rng.permutation(train)
+        for k in range(0, len(order), batch):
+            chosen, t = order[k : k + batch], t + 1
+            row, at, mean, error = forward(chosen)
+            error[np.arange(len(chosen)), labels[chosen]] -= 1
+            error *= weight[chosen, None] / len(chosen)
+            back = (error @ p["W"].T)[row] * (share[at, None] * scale)
+            grad = {"W": mean.T @ error, "b": error.sum(0), "E": np.stack([np.bincount(bucket[at], back[:, i], minlength=len(known)) for i in range(width)], 1).astype(np.float32)}
+            for n, g in grad.items():
+                m[n] += 0.1 * (g - m[n])
+                v[n] += 0.01 * (g * g - v[n])
+                p[n] = p[n] - rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + floor)
+        probability = forward(test)[3][np.arange(len(test)), labels[test]] if len(test) else np.ones(1)
+        loss = float(-(weight[test] * np.log(probability + 1e-9)).mean()) if len(test) else -t
         if loss < best[0]:
             best = (loss, {k: x.copy() for k, x in p.items()})
     p = best[1]
