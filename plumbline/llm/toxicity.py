@@ -26,7 +26,7 @@ SIZES = (3, 4, 5, 6)
 #: Bytes of text that are handled at once.
 SLICE = 1 << 20
 #: Texts of either class that the model is fitted on, at most.
-TRAIN_EACH = 2000
+TRAIN_EACH = 1500
 #: Weight of class 1 in training: clean texts that are called toxic cost more than toxic ones that pass.
 TOXIC_SHARE = 0.4
 #: Added to Adam's divisor: gradients much below it move little, so that rare subwords aren't learnt by heart.
@@ -119,20 +119,23 @@ class Bags:
     """Texts as rows of a sparse matrix: the share of each bucket among a text's subwords."""
 
     def __init__(self, texts: list[str]):
-        column, keys = pa.array(texts, pa.string()), []
-        for lo, hi in slices(column, SLICE):
+        column, parts = pa.array(texts, pa.string()), []
+        for lo, hi in slices(column, SLICE // 4):
             bucket, owner = subwords(column.slice(lo, hi - lo))
-            keys.append(np.unique((owner.astype(np.int64) + lo) << BITS | bucket, return_counts=True))
-        key, count = (np.concatenate(x) for x in zip(*keys, strict=True)) if keys else (np.zeros(0, np.int64),) * 2
-        self.n, self.doc, self.bucket = len(texts), key >> BITS, key & ((1 << BITS) - 1)
-        self.share = (count / np.bincount(self.doc, count, minlength=self.n)[self.doc]).astype(np.float32)
+            key, count = np.unique((owner.astype(np.int64)) << BITS | bucket, return_counts=True)
+            doc = (key >> BITS).astype(np.int32)
+            share = count / np.bincount(doc, count, minlength=hi - lo)[doc]
+            parts.append((doc + np.int32(lo), (key & ((1 << BITS) - 1)).astype(np.int32), share.astype(np.float32)))
+        self.n = len(texts)
+        self.doc, self.bucket, self.share = (np.concatenate(x) for x in zip(*parts, strict=True))
 
     def rows(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row numbers, bucket numbers and shares, by row; of buckets that are not known, nothing."""
-        number = np.full(1 << BITS, -1)
-        number[known] = np.arange(len(known))
+        number = np.full(1 << BITS, -1, np.int32)
+        number[known] = np.arange(len(known), dtype=np.int32)
         at = number[self.bucket]
-        return self.doc[at >= 0], at[at >= 0], self.share[at >= 0]
+        keep = at >= 0
+        return self.doc[keep], at[keep], self.share[keep]
 
 
 def spread(values: np.ndarray, into: np.ndarray, size: int) -> np.ndarray:
@@ -165,7 +168,8 @@ def fit(rows: list[tuple[str, int]], width: int = 4, epochs: int = 10, batch: in
     known = np.flatnonzero(held >= max(least, len(rows) // 200))
     known = known if len(known) else np.arange(1)
     doc, bucket, share = bags.rows(known)
-    first = np.searchsorted(doc, np.arange(len(rows) + 1))
+    del bags
+    first = np.searchsorted(doc, np.arange(len(rows) + 1, dtype=np.int32))
     weight = (len(rows) * np.array([1 - TOXIC_SHARE, TOXIC_SHARE]) / np.bincount(labels, minlength=2))[labels].astype(np.float32)
     p = {"E": rng.normal(0, 0.01, (len(known), width)).astype(np.float32), "W": rng.normal(0, 1, (width, 2)).astype(np.float32), "b": np.zeros(2, np.float32)}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
