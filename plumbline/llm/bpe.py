@@ -1,104 +1,280 @@
 """Byte-level BPE: ranked merges folded over byte arrays by Spark's higher-order functions.
 
 Texts are cut into pieces by the tokenizer's pattern. A task sends each distinct piece once, as an array of
-bytes, through a Spark expression that folds the merges over it: of all neighbouring parts, the pair of the
-lowest rank becomes one part, until no pair has a rank. The ranks are a literal in the plan, an array of small
-maps of which a pair's CRC-32 picks one. The parts' ranks are the token ids; the same expression decodes them by
-concatenating the tokens' bytes. The task then strings its texts together from its pieces. No row moves.
+bytes, through a Spark expression that folds the merges over it: of all neighbouring tokens, the pair of the
+lowest rank becomes one token, until no pair has a rank. The ranks are a literal in the plan: a cuckoo hash
+table, in one array, from pairs of token ids to the id (which is the rank) of the token that they make. The
+same rows come back with the ids and with the bytes that concatenating the tokens' binary pieces gives, and the
+task strings its texts together from them. No row moves, so nothing is shuffled or skewed, and the work a task
+repeats after a loss is its own.
 """
 
 from __future__ import annotations
 
 import base64
-import zlib
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-#: Maps that the ranks are dealt into.
-BUCKETS = 1 << 14
-#: A task forgets its pieces beyond so many bytes of them, and sends them anew.
-KNOWN_BYTES = 64 << 20
-#: Texts that wait for their pieces, at most (a longer text waits alone), and pieces of a row.
+from plumbline.llm._spark import text_bytes
+
+#: Texts that wait for their pieces, at most (a longer text waits alone), and bytes of pieces in a row.
 TEXT_BYTES = 8 << 20
-ROW_PIECES = 2048
+ROW_BYTES = 16 << 10
+#: A task forgets its pieces beyond so many, and sends them anew.
+KNOWN = 1 << 20
+ID_BITS = 18
+SEEDS = (94906267, 67867979)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
+    """Token bytes and ranks of a .tiktoken file."""
     with open(path, "rb") as file:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def _key(token: bytes) -> str:
-    """A byte string as a string of as many characters, one for each byte, none of which is special to Spark or JSON."""
-    return "".join(chr(0x100 + b) for b in token)
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The fold in plain Python, by which tokens are found that their own merges don't make."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        low, at = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if low == 1 << 30:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
+def cuckoo(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, int]:
+    """A table of key << ID_BITS | value in two parts, of size and of size + 2: a key is at key * seed modulo its size in either."""
+    size = max(11, int(len(keys) * 1.3)) | 1
+    while True:
+        table = np.full(2 * size + 2, -1, np.int64)
+        ok = True
+        places = np.stack([keys * SEEDS[0] % size, keys * SEEDS[1] % (size + 2) + size], 1).tolist()
+        held = [-1] * (2 * size + 2)
+        for i in range(len(keys)):
+            now, place = i, places[i][0]
+            for _ in range(500):
+                now, held[place] = held[place], now
+                if now < 0:
+                    break
+                a, b = places[now]
+                place = b if place == a else a
+            else:
+                ok = False
+                break
+        if ok:
+            at = np.array(held)
+            table[at >= 0] = keys[at[at >= 0]] << ID_BITS | values[at[at >= 0]]
+            return table, size
+        size += 2 + size // 50 * 2
 
 
 class Vocabulary:
-    """Expressions over literal tables of ranks."""
+    """Expressions over literal tables of ranks. Every single byte must be a token."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
+        self.size = max(ranks.values()) + 1
+        if self.size >= 1 << ID_BITS or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("the ranks need every byte, and ids of at most 18 bits")
+        pairs = {}
         for token, rank in ranks.items():
-            key = _key(token)
-            buckets[zlib.crc32(key.encode()) % BUCKETS].append(f'"{key}":{rank}')
-        maps = "[" + ",".join("{" + ",".join(x) + "}" for x in buckets) + "]"
-        self.maps = F.from_json(F.lit(maps), "array<map<string,int>>")
-        tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    pairs[a << ID_BITS | b] = rank
+        table, self.half = cuckoo(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
+        tokens = [b""] * self.size
         for token, rank in ranks.items():
             tokens[rank] = token
-        # Parsing JSON is folded into a literal before a query runs; a higher-order function wouldn't be.
-        self.tokens = F.from_json(F.lit("[" + ",".join(f'"{base64.b64encode(x).decode()}"' for x in tokens) + "]"), "array<binary>")
+        # Parsing JSON is folded into a literal before a query runs.
+        self.table = F.from_json(F.lit(json.dumps(table.tolist(), separators=(",", ":"))), "array<bigint>")
+        self.tokens = F.from_json(F.lit(json.dumps([base64.b64encode(x).decode() for x in tokens], separators=(",", ":"))), "array<binary>")
+        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
+        odd = [(list(token), rank) for token, rank in ranks.items() if len(token) > 1 and merge(token, ranks) != [rank]]
+        self.odd = F.from_json(F.lit(json.dumps([{"b": b, "id": r} for b, r in odd])), "array<struct<b:array<bigint>,id:bigint>>") if odd else None
 
-    def rank(self, part: Column) -> Column:
-        """A part's rank; null if it has none."""
-        return F.try_element_at(F.element_at(self.maps, (F.crc32(part.cast("binary")) % BUCKETS + 1).cast("int")), part)
+    def rank(self, a: Column, b: Column) -> Column:
+        """The id of the token that two tokens make; the vocabulary's size if they make none."""
+        key = a * (1 << ID_BITS) + b
+        first = F.element_at(self.table, (key * SEEDS[0] % self.half).cast("int") + 1)
+        second = F.element_at(self.table, (key * SEEDS[1] % (self.half + 2)).cast("int") + (1 + self.half))
+        value = lambda entry: entry.bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long"))
+        return F.when(F.shiftright(first, ID_BITS) == key, value(first)).when(F.shiftright(second, ID_BITS) == key, value(second)).otherwise(F.lit(self.size).cast("long"))
 
-    def encode(self, key: Column) -> Column:
-        """Token ids of a piece, given as _key() has it. A piece that is a token is one; else merges decide."""
-        none = F.lit(2**31 - 1)
+    def encode(self, piece: Column) -> Column:
+        """Token ids of a piece, an array of byte values. A piece that is a token is one; else merges decide."""
+        none = F.lit(self.size).cast("long")
 
         def bound(value: Column, use) -> Column:
             """use(value), with value computed once."""
             return F.element_at(F.transform(F.array(value), use), 1)
 
-        def rank(part: Column) -> Column:
-            return F.coalesce(self.rank(part), none)
-
-        def begin(parts: Column) -> Column:
-            pairs = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x, i: rank(F.concat(x, F.element_at(parts, i + 2))))
-            return F.struct(parts.alias("p"), pairs.alias("r"))
-
-        def merge(state: Column, _: Column) -> Column:
-            p, r = state["p"], state["r"]
+        # p: tokens, with an id that makes no pair before the first and after the last; r[i]: rank of p[i] and p[i + 1].
+        def begin(p: Column) -> Column:
+            return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: self.rank(x, F.element_at(p, i + 2))).alias("r"))
 
+        def step(state: Column, _: Column) -> Column:
             def at_lowest(low: Column) -> Column:
+                p, r = state["p"], state["r"]
                 merged = bound(
                     F.array_position(r, low).cast("int"),
-                    lambda at: bound(
-                        F.concat(F.element_at(p, at), F.element_at(p, at + 1)),
-                        lambda part: F.struct(
-                            F.concat(F.slice(p, F.lit(1), at - 1), F.array(part), F.slice(p, at + 2, F.size(p))).alias("p"),
-                            F.concat(
-                                F.when(at > 1, F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), F.array(rank(F.concat(F.element_at(p, F.greatest(at - 1, F.lit(1))), part))))).otherwise(F.array().cast("array<int>")),
-                                F.when(at + 2 <= F.size(p), F.array(rank(F.concat(part, F.element_at(p, F.least(at + 2, F.size(p))))))).otherwise(F.array().cast("array<int>")),
-                                F.slice(r, at + 2, F.size(p)),
-                            ).alias("r"),
-                        ),
+                    lambda at: F.struct(
+                        F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p))).alias("p"),
+                        F.concat(F.slice(r, F.lit(1), at - 2), F.array(self.rank(F.element_at(p, at - 1), low), self.rank(low, F.element_at(p, at + 2))), F.slice(r, at + 2, F.size(p))).alias("r"),
                     ),
                 )
-                return F.when(low.isNull() | (low == none), state).otherwise(merged)
+                return F.when(low < none, merged).otherwise(state)
 
-            return bound(F.array_min(r), at_lowest)
+            return bound(F.array_min(state["r"]), at_lowest)
 
-        parts = F.split(key, "")
-        folded = F.aggregate(F.slice(parts, F.lit(2), F.length(key)), bound(parts, begin), merge)
-        return bound(self.rank(key), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded["p"], self.rank)))
+        ends = F.array(none)
+        first = F.concat(ends, F.transform(piece, lambda b: F.element_at(self.bytes, b.cast("int") + 1)), ends)
+        folded = F.aggregate(F.slice(piece, F.lit(2), F.size(piece)), bound(first, begin), step)
+        ids = bound(folded["p"], lambda p: F.slice(p, F.lit(2), F.size(p) - 2))
+        if self.odd is not None:
+            whole = F.filter(self.odd, lambda x: x["b"] == piece.cast("array<bigint>"))
+            ids = F.when(F.size(whole) > 0, F.transform(whole, lambda x: x["id"])).otherwise(ids)
+        return ids.cast("array<int>")
 
     def decode(self, ids: Column) -> Column:
         """The bytes of token ids, put together."""
         return F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.element_at(self.tokens, i + 1)))
+
+
+def _cut(pattern: str):
+    """Batches of rows with pieces that are new to the task, each before the rows with the texts they are of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known, schema = regex.compile(pattern), {}, None
+
+        def rows(new: list[str]) -> Iterator[pa.RecordBatch]:
+            """New pieces, as arrays of byte values, some to a row."""
+            data = [x.encode() for x in new]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+            values = np.frombuffer(b"".join(data), np.uint8).astype(np.int16)
+            cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, offsets[-1], ROW_BYTES)), len(data)))
+            pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pieces)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(lists), schema.field(0).type), lists, pa.nulls(len(lists), pa.list_(pa.int32())), pa.array([False] * len(lists))], names=["row", "pieces", "numbers", "anew"])
+
+        def flush(at: pa.Array, numbers: list[list[int]], new: list[str], anew: bool) -> Iterator[pa.RecordBatch]:
+            if anew:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, schema.field(0).type), pa.nulls(1, pa.list_(pa.list_(pa.int16()))), pa.nulls(1, pa.list_(pa.int32())), pa.array([True])], names=["row", "pieces", "numbers", "anew"])
+            if new:
+                yield from rows(new)
+            yield pa.RecordBatch.from_arrays([at, pa.nulls(len(at), pa.list_(pa.list_(pa.int16()))), pa.array(numbers, pa.list_(pa.int32())), pa.array([False] * len(at))], names=["row", "pieces", "numbers", "anew"])
+
+        for batch in batches:
+            schema = batch.schema
+            texts, begin, size, numbers, new, anew = batch.column("text"), 0, 0, [], [], False
+            for i in range(len(texts)):
+                text = texts[i].as_py() or ""
+                if len(known) > KNOWN and not numbers:
+                    known, anew = {}, True
+                line = []
+                for x in find.findall(text):
+                    n = known.get(x)
+                    if n is None:
+                        n = known[x] = len(known)
+                        new.append(x)
+                    line.append(n)
+                numbers.append(line)
+                size += len(text)
+                if size >= TEXT_BYTES or len(known) > KNOWN or i + 1 == len(texts):
+                    yield from flush(batch.column("row").slice(begin, i + 1 - begin), numbers, new, anew)
+                    begin, size, numbers, new, anew = i + 1, 0, [], [], False
+
+    return run
+
+
+def gather(values: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges offsets[c] to offsets[c + 1] of values, one after another, and how long each is."""
+    many = (offsets[1:] - offsets[:-1])[chosen]
+    at = np.arange(int(many.sum())) + np.repeat(offsets[:-1][chosen] - (np.cumsum(many) - many), many)
+    return values[at], many
+
+
+def _string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as the ids and the bytes of their pieces."""
+    parts: dict[str, list] = {"ids": [], "bytes": []}
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros(0, np.int32), np.zeros(1, np.int64)) for k in parts}
+
+    def settle() -> None:
+        for name, new in parts.items():
+            if new:
+                values, offsets = held[name]
+                held[name] = (np.concatenate([values, *(v for v, _ in new)]), np.concatenate([offsets, *(o for _, o in _shifted(new, offsets[-1]))]))
+                new.clear()
+
+    for batch in batches:
+        numbers, pieces, anew = batch.column("numbers"), batch.column("ids"), batch.column("anew")
+        texts = []
+        for i in range(batch.num_rows):
+            if anew[i].as_py():
+                for name in parts:
+                    parts[name], held[name] = [], (np.zeros(0, np.int32), np.zeros(1, np.int64))
+            elif numbers[i].is_valid:
+                texts.append(i)
+                last = i + 1 == batch.num_rows or not numbers[i + 1].is_valid
+                if last or len(texts) >= 256:
+                    settle()
+                    yield _texts(batch.column("row").take(pa.array(texts)), numbers.take(pa.array(texts)), held)
+                    texts = []
+            elif pieces[i].is_valid:
+                lists = pieces[i].values
+                parts["ids"].append((lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())))
+                blobs = batch.column("decoded")[i].values
+                lengths = np.diff(np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1])
+                parts["bytes"].append((np.frombuffer(b"".join(blobs.to_pylist()), np.uint8), lengths))
+
+
+def _shifted(new: list, at: int):
+    for values, lengths in new:
+        ends = at + np.cumsum(lengths)
+        at = ends[-1] if len(ends) else at
+        yield values, ends
+
+
+def _texts(row: pa.Array, numbers: pa.Array, held: dict) -> pa.RecordBatch:
+    flat, ends = numbers.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(numbers.value_lengths().to_numpy(zero_copy_only=False))])
+    out = {}
+    for name, (values, offsets) in held.items():
+        got, many = gather(values, offsets, flat)
+        out[name] = got, np.concatenate([[0], np.cumsum(many)])[ends].astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(out["ids"][1]), pa.array(out["ids"][0].astype(np.int32)))
+    decoded = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(out["bytes"][1].tobytes()), pa.py_buffer(out["bytes"][0].astype(np.uint8).tobytes())])
+    return pa.RecordBatch.from_arrays([row, ids, decoded], names=["row", "ids", "decoded"])
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: list[str] | None = None, task_bytes: int = 160 << 20) -> DataFrame:
+    """Token ids of texts, and the bytes that these ids decode to.
+
+    Returns, for each row of docs, `row` (a struct of the kept columns, all by default), ids and decoded. Null
+    and empty texts have no ids and decode to no bytes. Special tokens are ordinary text. Tasks are merged until
+    each has about task_bytes of text (but not below the cluster's cores), as a task encodes a piece once.
+    """
+    vocabulary, spark = Vocabulary(ranks), docs.sparkSession
+    keep = docs.columns if keep is None else keep
+    tasks = max(spark.sparkContext.defaultParallelism, -(-text_bytes(docs, text_col) // task_bytes))
+    held = F.struct(*[docs[c].alias(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    packed = docs.select(held.alias("row"), docs[text_col].cast("string").alias("text")).coalesce(tasks)
+    row = StructField("row", packed.schema["row"].dataType, True)  # rows with pieces have none
+    cut = packed.mapInArrow(_cut(pattern), StructType([row, *StructType.fromDDL("pieces array<array<short>>, numbers array<int>, anew boolean").fields]))
+    ids = cut.withColumn("ids", F.transform("pieces", vocabulary.encode)).withColumn("decoded", F.transform("ids", vocabulary.decode))
+    return ids.select("row", "numbers", "anew", "ids", "decoded").mapInArrow(_string, StructType([row, *StructType.fromDDL("ids array<int>, decoded binary").fields]))
+
+
+def op10_bpe(spark, sf_dir: str) -> DataFrame:
+    """The whole of documents, by the ranks of byte_bpe_multi_50k."""
+    import public_tokenizers
+
+    ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    return found.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from plumbline.llm.bpe import op10_bpe
 from plumbline.llm.decontamination import OP8_SQL, op8_decontamination
 from plumbline.llm.quality import op7_quality
 from plumbline.llm.substring_dedup import op6_substring_dedup
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable] = {
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
