@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from plumbline.llm.bpe import op10_bpe
 from plumbline.llm.decontamination import OP8_SQL, op8_decontamination
+from plumbline.llm.jaccard_join import op3_jaccard_join
 from plumbline.llm.quality import op7_quality
 from plumbline.llm.substring_dedup import op6_substring_dedup
 from plumbline.llm.toxicity import op9_toxicity
@@ -13,6 +14,7 @@ from plumbline.llm.warc import OP1_SQL, op1_warc
 
 QUERIES: dict[str, Callable] = {
     "op1_warc": op1_warc,
+    "op3_jaccard_join": op3_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
