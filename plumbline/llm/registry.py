@@ -8,12 +8,14 @@ from plumbline.llm.bpe import op10_bpe
 from plumbline.llm.decontamination import OP8_SQL, op8_decontamination
 from plumbline.llm.jaccard_join import op3_jaccard_join
 from plumbline.llm.quality import op7_quality
+from plumbline.llm.secret_scan import op2_secret_scan
 from plumbline.llm.substring_dedup import op6_substring_dedup
 from plumbline.llm.toxicity import op9_toxicity
 from plumbline.llm.warc import OP1_SQL, op1_warc
 
 QUERIES: dict[str, Callable] = {
     "op1_warc": op1_warc,
+    "op2_secret_scan": op2_secret_scan,
     "op3_jaccard_join": op3_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
