@@ -76,6 +76,11 @@ def cuckoo(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, int]:
         size += 2 + size // 50 * 2
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once, and once in the plan."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 class Vocabulary:
     """Expressions over literal tables of ranks. Every single byte must be a token."""
 
@@ -100,25 +105,29 @@ class Vocabulary:
         odd = [(list(token), rank) for token, rank in ranks.items() if len(token) > 1 and merge(token, ranks) != [rank]]
         self.odd = F.from_json(F.lit(json.dumps([{"b": b, "id": r} for b, r in odd])), "array<struct<b:array<bigint>,id:bigint>>") if odd else None
 
-    def rank(self, a: Column, b: Column) -> Column:
+    def rank(self, table: Column, a: Column, b: Column) -> Column:
         """The id of the token that two tokens make; the vocabulary's size if they make none."""
         key = a * (1 << ID_BITS) + b
-        first = F.element_at(self.table, (key * SEEDS[0] % self.half).cast("int") + 1)
-        second = F.element_at(self.table, (key * SEEDS[1] % (self.half + 2)).cast("int") + (1 + self.half))
+        first = F.element_at(table, (key * SEEDS[0] % self.half).cast("int") + 1)
+        second = F.element_at(table, (key * SEEDS[1] % (self.half + 2)).cast("int") + (1 + self.half))
         value = lambda entry: entry.bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long"))
         return F.when(F.shiftright(first, ID_BITS) == key, value(first)).when(F.shiftright(second, ID_BITS) == key, value(second)).otherwise(F.lit(self.size).cast("long"))
 
-    def encode(self, piece: Column) -> Column:
-        """Token ids of a piece, an array of byte values. A piece that is a token is one; else merges decide."""
-        none = F.lit(self.size).cast("long")
+    def encode(self, pieces: Column) -> Column:
+        """Token ids of each of the pieces, which are arrays of byte values."""
+        return bound(self.table, lambda table: bound(self.bytes, lambda single: F.transform(pieces, lambda piece: self._encode(piece, table, single))))
 
-        def bound(value: Column, use) -> Column:
-            """use(value), with value computed once."""
-            return F.element_at(F.transform(F.array(value), use), 1)
+    def decode(self, pieces: Column) -> Column:
+        """The bytes of each of the pieces, which are arrays of token ids: the tokens' bytes, put together."""
+        return bound(self.tokens, lambda tokens: F.transform(pieces, lambda ids: F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.element_at(tokens, i + 1)))))
+
+    def _encode(self, piece: Column, table: Column, single: Column) -> Column:
+        """A piece that is a token is one; else merges decide."""
+        none = F.lit(self.size).cast("long")
 
         # p: tokens, with an id that makes no pair before the first and after the last; r[i]: rank of p[i] and p[i + 1].
         def begin(p: Column) -> Column:
-            return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: self.rank(x, F.element_at(p, i + 2))).alias("r"))
+            return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: self.rank(table, x, F.element_at(p, i + 2))).alias("r"))
 
         def step(state: Column, _: Column) -> Column:
             def at_lowest(low: Column) -> Column:
@@ -127,7 +136,7 @@ class Vocabulary:
                     F.array_position(r, low).cast("int"),
                     lambda at: F.struct(
                         F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p))).alias("p"),
-                        F.concat(F.slice(r, F.lit(1), at - 2), F.array(self.rank(F.element_at(p, at - 1), low), self.rank(low, F.element_at(p, at + 2))), F.slice(r, at + 2, F.size(p))).alias("r"),
+                        F.concat(F.slice(r, F.lit(1), at - 2), F.array(self.rank(table, F.element_at(p, at - 1), low), self.rank(table, low, F.element_at(p, at + 2))), F.slice(r, at + 2, F.size(p))).alias("r"),
                     ),
                 )
                 return F.when(low < none, merged).otherwise(state)
@@ -135,7 +144,7 @@ class Vocabulary:
             return bound(F.array_min(state["r"]), at_lowest)
 
         ends = F.array(none)
-        first = F.concat(ends, F.transform(piece, lambda b: F.element_at(self.bytes, b.cast("int") + 1)), ends)
+        first = F.concat(ends, F.transform(piece, lambda b: F.element_at(single, b.cast("int") + 1)), ends)
         folded = F.aggregate(F.slice(piece, F.lit(2), F.size(piece)), bound(first, begin), step)
         ids = bound(folded["p"], lambda p: F.slice(p, F.lit(2), F.size(p) - 2))
         if self.odd is not None:
@@ -143,10 +152,6 @@ class Vocabulary:
             ids = F.when(F.size(whole) > 0, F.transform(whole, lambda x: x["id"])).otherwise(ids)
         return ids.cast("array<int>")
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of token ids, put together."""
-        return F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.element_at(self.tokens, i + 1)))
-
 
 def _cut(pattern: str):
     """Batches of rows with pieces that are new to the task, each before the rows with the texts they are of."""
@@ -267,7 +272,7 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, te
     packed = docs.select(held.alias("row"), docs[text_col].cast("string").alias("text")).coalesce(tasks)
     row = StructField("row", packed.schema["row"].dataType, True)  # rows with pieces have none
     cut = packed.mapInArrow(_cut(pattern), StructType([row, *StructType.fromDDL("pieces array<array<short>>, numbers array<int>, anew boolean").fields]))
-    ids = cut.withColumn("ids", F.transform("pieces", vocabulary.encode)).withColumn("decoded", F.transform("ids", vocabulary.decode))
+    ids = cut.withColumn("ids", vocabulary.encode(F.col("pieces"))).withColumn("decoded", vocabulary.decode(F.col("ids")))
     return ids.select("row", "numbers", "anew", "ids", "decoded").mapInArrow(_string, StructType([row, *StructType.fromDDL("ids array<int>, decoded binary").fields]))
 
 
