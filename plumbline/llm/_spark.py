@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,10 +29,15 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def written(frame: DataFrame, what: str) -> DataFrame:
-    """The frame as a table in the shared folder: lineage ends there, and lost executors cost nothing."""
+    """The frame as a table in the shared folder: lineage ends there, and lost executors cost nothing.
+
+    What was shuffled for it is of no more use; the driver's garbage collection lets executors delete it.
+    """
     spark = frame.sparkSession
     path = scratch(spark, what)
     frame.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -10,6 +10,7 @@ from plumbline.llm.jaccard_join import op3_jaccard_join
 from plumbline.llm.quality import op7_quality
 from plumbline.llm.secret_scan import op2_secret_scan
 from plumbline.llm.substring_dedup import op6_substring_dedup
+from plumbline.llm.topk import OP5_SQL, op5_topk
 from plumbline.llm.toxicity import op9_toxicity
 from plumbline.llm.warc import OP1_SQL, op1_warc
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable] = {
     "op1_warc": op1_warc,
     "op2_secret_scan": op2_secret_scan,
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_topk": op5_topk,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
@@ -25,6 +27,7 @@ QUERIES: dict[str, Callable] = {
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op5_topk": OP5_SQL,
     "op8_decontamination": OP8_SQL,
 }
 
