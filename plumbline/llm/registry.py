@@ -7,6 +7,7 @@ from collections.abc import Callable
 from plumbline.llm.bpe import op10_bpe
 from plumbline.llm.decontamination import OP8_SQL, op8_decontamination
 from plumbline.llm.jaccard_join import op3_jaccard_join
+from plumbline.llm.license_scan import op4_license_scan
 from plumbline.llm.quality import op7_quality
 from plumbline.llm.secret_scan import op2_secret_scan
 from plumbline.llm.substring_dedup import op6_substring_dedup
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable] = {
     "op1_warc": op1_warc,
     "op2_secret_scan": op2_secret_scan,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_license_scan": op4_license_scan,
     "op5_topk": op5_topk,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
