@@ -21,9 +21,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _load() -> None:
+    from plumbline.plans import corpus, decisions  # noqa: F401  registers the queries
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
