@@ -142,6 +142,19 @@ def pair_up(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.concatenate(large) if large else np.zeros(0, np.int64)
 
 
+def tally(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens fall into each of a power of two of groups, from n / 4 to n / 2 of them."""
+    groups = 1 << max(4, int(len(tokens) // 2).bit_length() - 1)
+    return np.bincount((mix(tokens ^ U(0x1CE4E5B9BF58476D)) & U(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def can_be_similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """False if two sets' tallies differ by more than similar sets' tokens can. The finer tally is folded onto the coarser."""
+    if len(x) != len(y):
+        x, y = (v.reshape(-1, min(len(x), len(y))).sum(0) for v in (x, y))
+    return 9 * int(np.abs(x - y).sum()) <= int(x.sum() + y.sum())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b): the least node that can be reached. All in tables, none on the driver."""
     both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "links")
@@ -239,7 +252,24 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     paired = written(texts.mapInArrow(send, "bucket int, ids binary, counts binary, sigs binary").groupBy("bucket").applyInArrow(pair, "a long, b long, sig long, role long"), "pairs")
 
+    def sketch_of(batches):
+        for batch in batches:
+            for part in own(batch):
+                if part:
+                    yield pa.RecordBatch.from_pydict({"id": [i for i, _ in part], "tally": [blob(tally(t)) for _, t in part]})
+
+    tallies = written(texts.mapInArrow(sketch_of, "id long, tally binary"), "tallies")
+
+    def near(batches):
+        for batch in batches:
+            x, y = (unblob(batch.column(c), np.int32) for c in ("x", "y"))
+            keep = pa.array([i for i in range(len(x)) if can_be_similar(x[i], y[i])], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
+
     def verify(pairs: DataFrame) -> DataFrame:
+        """Of the pairs, those that link. Tallies, of a twelfth of the texts' size, rule most others out beforehand."""
+        x, y = tallies.select(F.col("id").alias("a"), F.col("tally").alias("x")), tallies.select(F.col("id").alias("b"), F.col("tally").alias("y"))
+        pairs = written(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(near, "a long, b long").distinct(), "near")
         left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
         right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
 
@@ -259,7 +289,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         known = {}
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int32())) for c in ("a", "b")], names=["a", "b"])
 
-        return written(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(similar, "a long, b long"), "verified")
+        return written(pairs.join(left, "a").join(right, "b").mapInArrow(similar, "a long, b long"), "verified")
 
     first = paired.where("b IS NOT NULL").select("a", "b").distinct()
     links = verify(first)

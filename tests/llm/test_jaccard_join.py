@@ -77,3 +77,18 @@ def test_query(spark):
     rows = [(int(i), t) for i, t in zip(docs.doc_id, docs.text, strict=True)]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.op3_jaccard_join(spark, "/root/testdata/sf0.001").collect())
     assert got == sorted(brute(rows))
+
+
+def test_tallies_never_rule_out_similar_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (1, 4, 5, 9, 60, 127, 128, 129, 2000):
+        for _ in range(30):
+            x = rng.integers(1, 2**63, n).astype(np.uint64)
+            y = np.concatenate([x[: n - rng.integers(0, 1 + n // 9)], rng.integers(1, 2**63, rng.integers(0, 1 + n // 9)).astype(np.uint64)])
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                assert jaccard_join.can_be_similar(jaccard_join.tally(x), jaccard_join.tally(y))
+    a, b = (rng.integers(1, 2**63, 500).astype(np.uint64) for _ in range(2))
+    assert not jaccard_join.can_be_similar(jaccard_join.tally(a), jaccard_join.tally(b))
