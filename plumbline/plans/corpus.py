@@ -1,0 +1,183 @@
+"""Queries over texts and tables: digests, contamination, splits, samples, summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from plumbline.catalog import query
+from plumbline.operators import text as T
+from plumbline.operators.predict import rounded
+
+NORM = "trim(regexp_replace(lower(regexp_replace({0}, '-(LRB|RRB|LSB|RSB|LCB|RCB)-', ' ', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+N = NORM.format("text")
+UNIT = "(('0x' || substr(sha256({0}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def table(spark, d: str, name: str):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+@query("norm_text", f"SELECT doc_id, sha256({N}) AS norm_sha, length({N})::INT AS n FROM documents")
+def norm_text(spark, d):
+    n = T.norm(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(n.cast("binary"), 256).alias("norm_sha"), F.length(n).alias("n"))
+
+
+@query("text_digest", f"SELECT doc_id, CASE WHEN length({N}) >= 24 THEN substr(sha256({N}), 1, 24) END AS digest FROM documents")
+def text_digest(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.digest(F.col("text")).alias("digest"))
+
+
+@query("hash_unit", f"SELECT doc_id, {UNIT.format('doc_id::VARCHAR')} AS unit FROM documents")
+def hash_unit(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.unit(F.col("doc_id").cast("string")).alias("unit"))
+
+
+@query("fit_split", f"SELECT split, count(*) AS n FROM (SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'validation' ELSE 'test' END AS split FROM (SELECT {UNIT.format("'split:' || source")} AS u FROM documents)) GROUP BY split")
+def fit_split(spark, d):
+    u = T.unit(F.concat(F.lit("split:"), "source"))
+    return table(spark, d, "documents").groupBy(F.when(u < 0.7, "train").when(u < 0.85, "validation").otherwise("test").alias("split")).agg(F.count("*").alias("n"))
+
+
+SEG = "SELECT DISTINCT {k}, substr(sha256(n), 1, 24) AS segment FROM (SELECT {k}, " + NORM.format("line") + " AS n FROM (SELECT {k}, unnest(string_split(text, chr(10))) AS line FROM {t})) WHERE length(n) >= 60"
+
+
+@query("segments", SEG.format(k="doc_id", t="documents"))
+def segments(spark, d):
+    return T.segments(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("shingles", f"SELECT doc_id, count(DISTINCT g) AS n_shingles FROM (SELECT doc_id, CASE WHEN i <= len(w) - 7 THEN array_to_string(w[i : i + 7], ' ') END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS i FROM (SELECT doc_id, string_split({N}, ' ') AS w FROM documents))) GROUP BY doc_id")
+def shingle_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(T.shingles(F.split(T.norm(F.col("text")), " "))).cast("long").alias("n_shingles"))
+
+
+@query("contam_exact", f"SELECT d.doc_id, b.item_id FROM (SELECT doc_id, {N} AS n FROM documents) d JOIN (SELECT item_id, {N} AS n FROM benchmark) b USING (n) WHERE length(n) >= 24")
+def contam_exact(spark, d):
+    left = table(spark, d, "documents").select("doc_id", T.digest(F.col("text")).alias("digest")).where("digest IS NOT NULL")
+    right = table(spark, d, "benchmark").select("item_id", T.digest(F.col("text")).alias("digest"))
+    return left.join(right, "digest").select("doc_id", "item_id")
+
+
+@query("contam_segment", f"SELECT DISTINCT doc_id FROM ({SEG.format(k='doc_id', t='documents')}) SEMI JOIN ({SEG.format(k='item_id', t='benchmark')}) USING (segment)")
+def contam_segment(spark, d):
+    left, right = T.segments(table(spark, d, "documents"), "doc_id", "text"), T.segments(table(spark, d, "benchmark"), "item_id", "text")
+    return left.join(right.select("segment").distinct(), "segment", "left_semi").select("doc_id").distinct()
+
+
+POST = "SELECT DISTINCT {k}, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {k}, string_split(" + N + ", ' ') AS w FROM {t}) WHERE len(w) >= 8)"
+
+
+@query("contam_passage", f"WITH d AS ({POST.format(k='doc_id', t='documents')}), b AS ({POST.format(k='item_id', t='benchmark')}), r AS (SELECT g FROM b GROUP BY g HAVING count(*) <= 3) SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) SEMI JOIN r USING (g) GROUP BY doc_id, item_id HAVING count(*) >= 5")
+def contam_passage(spark, d):
+    return T.shared_passages(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")
+
+
+@query("shingle_df", f"WITH b AS ({POST.format(k='item_id', t='benchmark')}) SELECT n AS held_by, count(*) AS shingles FROM (SELECT g, count(*) AS n FROM b GROUP BY g) GROUP BY n")
+def shingle_df(spark, d):
+    posted = table(spark, d, "benchmark").select("item_id", F.explode(T.shingles(F.split(T.norm(F.col("text")), " "))).alias("g"))
+    return posted.groupBy("g").agg(F.count("*").alias("held_by")).groupBy("held_by").agg(F.count("*").alias("shingles"))
+
+
+@query("dedup_in_tier", f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {N} ORDER BY {UNIT.format('doc_id::VARCHAR')}, doc_id) AS r FROM documents) WHERE r = 1")
+def dedup_in_tier(spark, d):
+    """The first of equal normalised texts in hash order: a minimum by group, without a window over the texts."""
+    rows = table(spark, d, "documents").select(F.sha2(T.norm(F.col("text")).cast("binary"), 256).alias("key"), F.struct(T.unit(F.col("doc_id").cast("string")).alias("u"), "doc_id").alias("first"))
+    return rows.groupBy("key").agg(F.min("first").alias("first")).select("first.doc_id")
+
+
+RANK = f"row_number() OVER (PARTITION BY source, lang ORDER BY {UNIT.format('doc_id::VARCHAR')}, doc_id)"
+
+
+@query("first_n_by_hash", f"SELECT source, lang, doc_id FROM (SELECT *, {RANK} AS r FROM documents) WHERE r <= 2")
+def first_n_by_hash(spark, d):
+    order = Window.partitionBy("source", "lang").orderBy("u", "doc_id")
+    rows = table(spark, d, "documents").select("source", "lang", "doc_id", T.unit(F.col("doc_id").cast("string")).alias("u"))
+    return rows.withColumn("r", F.row_number().over(order)).where("r <= 2").select("source", "lang", "doc_id")
+
+
+@query("balanced_sample", f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {UNIT.format('doc_id::VARCHAR')}, doc_id) AS r FROM documents) ORDER BY r, lang LIMIT 60")
+def balanced_sample(spark, d):
+    """60 documents, dealt out over the languages in turn, in hash order."""
+    order = Window.partitionBy("lang").orderBy("u", "doc_id")
+    rows = table(spark, d, "documents").select("doc_id", "lang", T.unit(F.col("doc_id").cast("string")).alias("u"))
+    return rows.withColumn("r", F.row_number().over(order)).where("r <= 60").orderBy("r", "lang").limit(60).select("doc_id", "lang")
+
+
+@query("one_per_group", f"SELECT source, arg_min(doc_id, ({UNIT.format('doc_id::VARCHAR')}, doc_id)) AS doc_id FROM documents GROUP BY source")
+def one_per_group(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.min_by("doc_id", F.struct(T.unit(F.col("doc_id").cast("string")), "doc_id")).alias("doc_id"))
+
+
+@query("manifest_counts", "SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'es') AS es FROM documents GROUP BY source")
+def manifest_counts(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(*[F.count_if(F.col("lang") == x).alias(x) for x in ("en", "de", "fr", "es")])
+
+
+@query("filter_too_long", "SELECT source, count(*) AS kept FROM documents WHERE length(text) <= 3000 GROUP BY source")
+def filter_too_long(spark, d):
+    return table(spark, d, "documents").where(F.length("text") <= 3000).groupBy("source").agg(F.count("*").alias("kept"))
+
+
+@query("duplicate_ids", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM documents) GROUP BY doc_id HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    return table(spark, d, "labels").select("doc_id").unionByName(table(spark, d, "documents").select("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("join_examples", "SELECT lang, count(*) AS n, avg(quality)::DOUBLE AS quality, avg(toxic)::DOUBLE AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def join_examples(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
+
+
+@query("digest_except", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def digest_except(spark, d):
+    return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
+
+
+@query("strip_tags", "SELECT page_id, sha256(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS stripped FROM pages")
+def strip_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(F.regexp_replace("html", "<[^>]+>", " ").cast("binary"), 256).alias("stripped"))
+
+
+@query("json_props_extract", "SELECT event_type, count(*) AS n, sum((props->>'$.k')::INT)::BIGINT AS k FROM events GROUP BY event_type")
+def json_props_extract(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("k"))
+
+
+@query("latency_summary", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(max(CASE WHEN i = least(n - 1, floor(0.95 * n)) THEN value END), 6) AS p95, round(avg(value), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY event_type")
+def latency_summary(spark, d):
+    """Median, the order statistic at floor(0.95 n), and mean: equal values are counted before they are ranked."""
+    rows = table(spark, d, "events").where("value IS NOT NULL")
+    whole = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"), F.avg("value").alias("mean"))
+    counted = rows.groupBy("event_type", "value").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(Window.partitionBy("event_type").orderBy("value")))
+    place = F.least(F.col("n") - 1, F.floor(0.95 * F.col("n")))
+    p95 = counted.join(F.broadcast(whole), "event_type").where(F.col("upto") > place).groupBy("event_type").agg(F.min("value").alias("p95"))
+    return whole.join(p95, "event_type").select("event_type", rounded("median").alias("median"), rounded("p95").alias("p95"), rounded("mean").alias("mean"))
+
+
+@query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def latency_percentiles(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(rounded(F.percentile("value", F.lit(0.5))).alias("p50"), rounded(F.percentile("value", F.lit(0.95))).alias("p95"))
+
+
+@query("convert_preference", "SELECT conv_id, arg_max(text, turn) AS answer, count(*) AS turns FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def convert_preference(spark, d):
+    return table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer"), F.count("*").alias("turns"))
+
+
+@query("answers_last_wins", "SELECT conv_id, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
+def answers_last_wins(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("text"))
+
+
+MONTH = "date_trunc('month', l_shipdate)"
+
+
+@query("month_accuracy", f"SELECT l_returnflag AS flag, count(*) AS n, round(avg(hit), 6) AS accuracy FROM (SELECT l_returnflag, (l_returnflag = top)::INT AS hit FROM lineitem JOIN (SELECT {MONTH} AS m, arg_max(l_returnflag, (c, -ascii(l_returnflag))) AS top FROM (SELECT l_shipdate, l_returnflag, count(*) OVER (PARTITION BY {MONTH}, l_returnflag) AS c FROM lineitem) GROUP BY {MONTH}) t ON {MONTH} = t.m) GROUP BY l_returnflag")
+def month_accuracy(spark, d):
+    """How often the commonest return flag of a month is the row's: counts per month and flag suffice."""
+    rows = table(spark, d, "lineitem").groupBy(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("m"), "l_returnflag").agg(F.count("*").alias("c"))
+    top = rows.groupBy("m").agg(F.max_by("l_returnflag", F.struct("c", -F.ascii("l_returnflag"))).alias("top"))
+    both = rows.join(top, "m")
+    return both.groupBy(F.col("l_returnflag").alias("flag")).agg(F.sum("c").alias("n"), rounded(F.sum(F.when(F.col("top") == F.col("l_returnflag"), F.col("c")).otherwise(0)) / F.sum("c")).alias("accuracy"))
