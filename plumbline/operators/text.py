@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.vectors import bind
+
 #: Shortest normalised text with a digest, shortest sentence with one, words of a shingle.
 MIN_CHARS, SEGMENT_CHARS, SHINGLE = 24, 60, 8
 #: A passage is shared if two texts have so many shingles in common that at most so many texts hold.
@@ -36,8 +38,11 @@ def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def shingles(words: Column, n: int = SHINGLE) -> Column:
     """The distinct runs of n words."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    def runs(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    return bind(words, runs)
 
 
 def shared_passages(docs: DataFrame, key: str, others: DataFrame, other_key: str, text: str = "text", shared: int = SHARED, common: int = COMMON) -> DataFrame:
