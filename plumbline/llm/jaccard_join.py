@@ -31,8 +31,8 @@ from plumbline.llm._text import Words, mix, rolling, slices, window_starts
 
 U = np.uint64
 SKETCH = 1 << 18
-CHUNK_BYTES = 16 << 20
-BUCKET_ENTRIES = 2 << 20
+CHUNK_BYTES = 4 << 20
+BUCKET_ENTRIES = 1 << 19
 #: Entries of a signature that are all paired at once.
 SMALL = 6
 INDEX, INDEX_DELETED, PROBE, PROBE_DELETED = 1, 2, 4, 8
