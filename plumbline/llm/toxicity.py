@@ -111,7 +111,7 @@ class Model:
                 bucket, owner = subwords(part)
                 total[lo:hi] += np.bincount(owner, self.weights[bucket], minlength=hi - lo)
                 count[lo:hi] += np.bincount(owner, minlength=hi - lo)
-        logit = self.offset + total / np.maximum(count, 1)
+        logit = np.where(count > 0, self.offset + total / np.maximum(count, 1), min(self.offset, -1.0))
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
@@ -213,7 +213,7 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
     """`row` (a struct of the kept columns, all by default), score (0 to 1) and predicted (0 or 1) of each row.
 
     The model learns from the labels alone that training_rows() picks; scores depend on texts only. Null and
-    empty texts, and those without a word, get the score that the layer's offset gives. Labels of one class
+    empty texts, and those without a word, count as clean: the layer's offset, -1 at most, gives their score. Labels of one class
     alone make a constant score. Nothing else is read, so other columns can have any names.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, label, train_each, id_col, text_col)))
