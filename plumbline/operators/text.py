@@ -48,12 +48,26 @@ def shingles(words: Column, n: int = SHINGLE) -> Column:
 def shared_passages(docs: DataFrame, key: str, others: DataFrame, other_key: str, text: str = "text", shared: int = SHARED, common: int = COMMON) -> DataFrame:
     """Pairs of texts with at least `shared` shingles in common, of those that at most `common` distinct texts of others hold.
 
-    The cut comes before the join, so that no shingle makes more than `common` pairs for a text.
+    Texts of others with the same set of shingles are one text (as in the reference's index), whose matches go to the
+    keys of all of them; of several texts under one key the best counts. The cut comes before the join, so that no
+    shingle makes more than `common` pairs for a text.
     """
-    def posted(frame: DataFrame, k: str) -> DataFrame:
-        return frame.select(k, F.explode(shingles(F.split(norm(F.col(text)), " "))).alias("shingle")).select(k, F.xxhash64("shingle").alias("h"), "shingle")
+    classes = shingle_classes(others, other_key, text)
+    posts = distinct_posts(classes).select("class", F.xxhash64("shingle").alias("h"), "shingle")
+    rare = posts.groupBy("h", "shingle").agg(F.collect_list("class").alias("held"), F.count("*").alias("n")).where(F.col("n") <= common)
+    there = docs.select(key, F.explode(shingles(F.split(norm(F.col(text)), " "))).alias("shingle")).select(key, F.xxhash64("shingle").alias("h"), "shingle")
+    pairs = there.join(rare, ["h", "shingle"]).select(key, F.explode("held").alias("class"))
+    found = pairs.groupBy(key, "class").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
+    copies = classes.select("class", other_key).distinct()
+    return found.join(copies, "class").groupBy(key, other_key).agg(F.max("shared").alias("shared"))
 
-    there = posted(others, other_key)
-    rare = there.groupBy("h", "shingle").agg(F.collect_set(other_key).alias("held"), F.count("*").alias("n")).where(F.col("n") <= common)
-    pairs = posted(docs, key).join(rare, ["h", "shingle"]).select(key, F.explode("held").alias(other_key))
-    return pairs.groupBy(key, other_key).agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
+
+def shingle_classes(frame: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, shingles and class of each text that has shingles; texts with the same set of shingles have the same class."""
+    rows = frame.select(key, shingles(F.split(norm(F.col(text)), " ")).alias("shingles")).where(F.size("shingles") > 0)
+    return rows.withColumn("class", F.sha2(F.array_join(F.array_sort("shingles"), "\n").cast("binary"), 256))
+
+
+def distinct_posts(classes: DataFrame) -> DataFrame:
+    """class and shingle, once for each shingle of each class of texts."""
+    return classes.groupBy("class").agg(F.any_value("shingles").alias("shingles")).select("class", F.explode("shingles").alias("shingle"))

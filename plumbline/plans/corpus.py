@@ -76,8 +76,9 @@ def contam_passage(spark, d):
 
 @query("shingle_df", f"WITH b AS ({POST.format(k='item_id', t='benchmark')}) SELECT n AS held_by, count(*) AS shingles FROM (SELECT g, count(*) AS n FROM b GROUP BY g) GROUP BY n")
 def shingle_df(spark, d):
-    posted = table(spark, d, "benchmark").select("item_id", F.explode(T.shingles(F.split(T.norm(F.col("text")), " "))).alias("g"))
-    return posted.groupBy("g").agg(F.count("*").alias("held_by")).groupBy("held_by").agg(F.count("*").alias("shingles"))
+    """Of how many distinct texts each shingle is part: texts with the same set of shingles are one."""
+    posted = T.distinct_posts(T.shingle_classes(table(spark, d, "benchmark"), "item_id"))
+    return posted.groupBy("shingle").agg(F.count("*").alias("held_by")).groupBy("held_by").agg(F.count("*").alias("shingles"))
 
 
 @query("dedup_in_tier", f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {N} ORDER BY {UNIT.format('doc_id::VARCHAR')}, doc_id) AS r FROM documents) WHERE r = 1")
