@@ -3,9 +3,10 @@
 Two first-order Markov models, of random strings and of ordinary identifiers, are trained from labelled samples
 that rules generate: bigram counts by class, with add-one smoothing, made by a Spark query. Their difference is
 a table of one log-likelihood ratio for each pair of characters, which scoring folds over a candidate: a run of
-16 or more characters of the base64 alphabet that holds a digit and a letter. A candidate whose mean ratio is
-above a margin, which the samples calibrate, is a span of kind `random`, unless it meets a span that a pattern
-gave: those stay as they are.
+16 or more characters of the base64 alphabet. A pair of the same character never speaks for random, so that rules
+and runs such as `-----` or `xxxxx`, which the samples don't hold, aren't taken for it. A candidate whose mean
+ratio is above a margin, which the samples calibrate, is a span of kind `random`, unless it meets a span that a
+pattern gave: those stay as they are.
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ def _place(a: Column, b: Column) -> Column:
 
 def mean_ratio(text: Column, table: Column) -> Column:
     """Mean of the table's log-likelihood ratios over a string's pairs of characters."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.element_at(table, (_place(F.substring(text, i, F.lit(1)), F.substring(text, i + 1, F.lit(1))) + 1).cast("int")))
+    characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))  # a substring by position would pass over the text again for each
+    n = F.greatest(F.size(characters) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(characters, F.lit(1), n), F.slice(characters, F.lit(2), n), lambda a, b: F.element_at(table, (_place(a, b) + 1).cast("int")))
     return F.when(F.length(text) > 1, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (F.length(text) - 1)).otherwise(F.lit(0.0))
 
 
@@ -67,7 +70,8 @@ def train(spark: SparkSession) -> tuple[list[float], float]:
         total = [sum(counts.get((c, a * CHARACTERS + b), 0) for b in range(CHARACTERS)) + CHARACTERS for c in (0, 1)]
         for b in range(CHARACTERS):
             one, zero = (counts.get((c, a * CHARACTERS + b), 0) + 1 for c in (1, 0))
-            table[a * CHARACTERS + b] = round(math.log(one / total[1]) - math.log(zero / total[0]), 4)
+            ratio = round(math.log(one / total[1]) - math.log(zero / total[0]), 4)
+            table[a * CHARACTERS + b] = min(ratio, 0.0) if a == b else ratio
     scored = known.select("label", mean_ratio(F.col("sample"), literal(table)).alias("ratio"))
     limits = scored.groupBy("label").agg(F.percentile("ratio", F.lit(0.999)).alias("high"), F.percentile("ratio", F.lit(0.5)).alias("middle")).collect()
     by = {r.label: r for r in limits}
@@ -122,7 +126,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None)
     def is_random(x: Column) -> Column:
         value = F.substring(text, x["start"] + 1, x["end"] - x["start"])
         apart = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return apart & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (mean_ratio(value, literal(table)) > margin)
+        return apart & (mean_ratio(value, literal(table)) > margin)
 
     found = found.withColumn("base", base).withColumn("more", F.when(F.size("candidates") > 0, F.filter("candidates", is_random)).otherwise(F.col("candidates")))
     return found.select("row", _sorted(F.col("base")).alias("base"), _sorted(F.concat("base", "more")).alias("spans"), "text")

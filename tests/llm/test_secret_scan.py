@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import pandas as pd
 
@@ -53,3 +55,19 @@ def test_query(spark):
         base = brute(t)
         assert [rows[i].n_assign, rows[i].n_access, rows[i].n_hex] == [sum(x[0] == k for x in base) for k in KINDS[:3]]
         assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+
+
+def test_random_strings_without_digits(spark):
+    rng = random.Random(3)
+    made = [("".join(rng.choice(alphabet) for _ in range(n)), n) for alphabet in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase) for n in (20, 40) for _ in range(100)]
+    docs = spark.createDataFrame([(i, f"key is {t} now") for i, (t, _) in enumerate(made)], "doc_id long, text string")
+    found = {r.row.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in scan(docs).collect()}
+    hits = [found[i] == [("random", 7, 7 + n)] for i, (_, n) in enumerate(made)]
+    assert all(sum(hits[k : k + 100]) >= 90 for k in range(0, 600, 100)), hits
+
+
+def test_ordinary_long_strings(spark):
+    texts = "internationalization|antidisestablishmentarianism|Rechtsschutzversicherungsgesellschaften|donaudampfschifffahrtsgesellschaft|anticonstitutionnellement|responsabilidades|incomprehensibilities|uncharacteristically|/usr/local/share/applications|get_user_name_from_index|electroencephalography".split("|")
+    texts += [c * n for c in "axAX0-=_+/" for n in (16, 40, 5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [texts[r.row.doc_id][:20] for r in scan(docs).collect() if r.spans and r.spans[0].kind == "random"] == []
