@@ -4,8 +4,8 @@ A paragraph is a line of a text. Its sparse features are the words and word pair
 multinomial logistic regression over them, fitted on the driver on samples that rules make from the templates,
 gives each licence family, and the class `unknown`, a probability. A temperature and a threshold, set on samples
 that were held out, calibrate it: below the threshold a paragraph is unknown. A prediction counts as confirmed
-only if the paragraph and a template of the family share enough word pairs. Paragraphs without any of the words
-in ANCHOR are of class unknown by definition. Scoring looks weights up in a literal of the plan.
+only if the paragraph and a template of the family share enough word pairs. Every paragraph is scored. Scoring
+looks weights up in a literal of the plan.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ TEMPLATES = {
 }
 #: Sentences with the same words that state no licence.
 ORDINARY = "He lost his driving license last week. | A license to practise medicine is required by law. | The copyright debate goes on in parliament. | She asked for permission to leave the room. | The warranty of the car expired. | They met at MIT and moved to Boston. | Apache helicopters flew over the valley. | The public library is a free domain of knowledge. | Rights were reserved for members only. | Version 2.0 of the report was published. | The general public was invited. | Free software is discussed in this article about licenses. | The licensed driver was late. | You may obtain a copy of the report at the desk. | The following conditions are met by the weather station. | Attribution of the painting is uncertain.".split(" | ")
-ANCHOR = r"(?i)licen[cs]|copyright|permission|redistribut|warrant|spdx|public\s+(licen|domain)|rights\s+reserved|\b(l?gpl|mpl|apache|mit|bsd|cc0|cc)\b"
+#: Of the lines that are scored: all.
+ANCHOR = ""
 UNKNOWN = "unknown"
 CLASSES = (*TEMPLATES, UNKNOWN)
 BUCKETS = 4096
@@ -151,16 +152,17 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
 
         def named(s: Column) -> Column:
             best = F.array_position(s["p"], F.array_max(s["p"])).cast("int")
+            family = (best < len(CLASSES)) & (F.array_max(s["p"]) >= model.threshold)  # of others, pairs aren't compared
             own = F.array_distinct(pairs_of(s["w"]))
             shared = F.exists(F.element_at(templates, best), lambda t: (F.size(F.array_intersect(own, t)) >= F.least(F.lit(LEAST_PAIRS), F.size(F.array_distinct(t)))) & ((F.size(F.array_intersect(own, t)) >= CONFIRM * F.size(F.array_distinct(t))) | (F.size(F.array_intersect(own, t)) >= CONFIRM * F.size(own))))
-            return F.struct(x["at"].alias("paragraph"), F.element_at(families, best).alias("family"), F.array_max(s["p"]).alias("probability"), shared.alias("confirmed"))
+            return F.struct(x["at"].alias("paragraph"), F.element_at(families, best).alias("family"), F.array_max(s["p"]).alias("probability"), F.when(family, shared).otherwise(F.lit(False)).alias("confirmed"))
 
         return bound(bound(words, scored), named)
 
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
     packed = docs.select((F.struct(*[docs[c].alias(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))).alias("row"), lines.alias("lines"))
-    marked = packed.select("row", F.size("lines").alias("n_paragraphs"), F.filter(F.transform("lines", lambda line, i: F.struct(i.alias("at"), line.alias("line"))), lambda x: x["line"].rlike(ANCHOR)).alias("marked"))
+    marked = packed.select("row", F.size("lines").alias("n_paragraphs"), F.transform("lines", lambda line, i: F.struct(i.alias("at"), line.alias("line"))).alias("marked"))
     found = F.filter(F.transform("marked", judge), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= model.threshold))
     return marked.select("row", "n_paragraphs", F.when(F.size("marked") > 0, found).otherwise(F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean>>")).alias("found"))
 

@@ -47,3 +47,10 @@ def test_held_out_samples():
         k = int(p.argmax())
         right.append((k if p.max() >= model.threshold else len(L.CLASSES) - 1) == c)
     assert np.mean(right) > 0.9
+
+
+def test_statements_without_keywords(spark):
+    texts = ["Creative Commons Attribution-ShareAlike 4.0 International", "Creative Commons Attribution 4.0 International", "prose\nin the Software without restriction, including without limitation the rights\nprose", "Unless required by applicable law or agreed to in writing, software"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.row.doc_id: [(x.paragraph, x.family, x.confirmed) for x in r.found] for r in L.scan(docs).collect()}
+    assert [rows[i] for i in range(4)] == [[(0, "cc-by", True)], [(0, "cc-by", True)], [(1, "mit", True)], [(0, "apache-2.0", True)]]
