@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from plumbline.operators.tables import Tables, scratch
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made, and set, only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/plumbline-{what}-{uuid.uuid4().hex}"
+__all__ = ["Tables", "annotate", "blob", "scratch", "text_bytes", "unblob", "written"]
 
 
 def written(frame: DataFrame, what: str) -> DataFrame:
-    """The frame as a table in the shared folder: lineage ends there, and lost executors cost nothing.
-
-    What was shuffled for it is of no more use; the driver's garbage collection lets executors delete it.
-    """
-    spark = frame.sparkSession
-    path = scratch(spark, what)
-    frame.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(frame.schema).parquet(path)
+    """The frame as a table in the shared folder: lineage ends there, and lost executors cost nothing."""
+    return Tables(frame.sparkSession, what).put(frame, what)
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:

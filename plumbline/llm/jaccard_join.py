@@ -1,18 +1,21 @@
 """N-gram Jaccard join by universe partition, one-deletion neighbourhoods and cost-based allocation.
 
-Texts are sets of hashed word shingles; equal sets become one class. Sets are dealt into bands by size, so
-that similar sets lie in one band or in neighbouring ones. In band k the universe of shingles is split by hash
-into m segments. Sets of similarity 4/5 and sizes a and b differ in at most (a + b) / 9 shingles, so however a
-set allots more units than that to its segments, some segment differs in fewer shingles than it was allotted:
-with one unit it is equal, with two (offered by every eighth segment) it differs by one deletion at most. Every
-set is indexed under all its segments and the one-deletion neighbourhoods of those that offer two units; as a
-probe, it allots its units where a sketch, which counts the index entries of all sets, promises the fewest
-candidates.
-
-Entries travel as arrays, by the bucket of their hash. A bucket pairs entries of a signature; of a signature
-that many sets share it pairs each set with a hub first, and lists the members. Pairs are verified exactly and
-linked sets merge into components; only members of a listed signature that are in different components by then
-are paired with each other. So a group of copies costs its size, not its square, and no link is lost.
+Texts are sets of hashed word shingles; equal sets are one node. Sets are dealt into bands by size, so that
+similar sets lie in one band or in neighbouring ones. In band k the universe of shingles is split by hash into m
+segments. Sets of similarity 4/5 and sizes a and b differ in at most (a + b) / 9 shingles, so however a set
+allots more units than that to its segments, some segment differs in fewer shingles than it was allotted: with
+one unit it is equal, with two (offered by every eighth segment) it differs by one deletion at most. Every set is
+indexed under all its segments and the one-deletion neighbourhoods of those that offer two units; as a probe, it
+allots its units where a sketch, which counts the index entries of all sets, promises the fewest candidates.
+
+Entries travel as arrays, by the bucket of their signature; a signature that the sketch finds in very many sets
+is dealt over several buckets, to each of which a few sets, the same ones, go. A bucket pairs all entries of a
+signature that few sets share; of one that many share it pairs each set with a hub, and lists the members. Pairs
+are verified exactly, and linked sets merge into components. Listed signatures whose members are then still in
+different components go into another round: their members alone, under another partition of the universe, and
+with a larger limit of what is paired in full. Two sets that link share a signature in every round until they are
+in one component, so no link is lost, a group of copies costs its size and not its square, and only sets that stay
+together under several independent partitions are all compared.
 """
 
 from __future__ import annotations
@@ -26,16 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._spark import blob, text_bytes, unblob, written
+from plumbline.llm._spark import Tables, annotate, blob, text_bytes, unblob
 from plumbline.llm._text import Words, mix, rolling, slices, window_starts
+from plumbline.operators.components import components
 
 U = np.uint64
 SKETCH = 1 << 18
-CHUNK_BYTES = 4 << 20
-BUCKET_ENTRIES = 1 << 19
-#: Entries of a signature that are all paired at once.
-SMALL = 6
+CHUNK_BYTES = 2 << 20
+BUCKET_ENTRIES = 1 << 20
+#: Entries of a signature that are all paired at once in the first round; the limit grows from round to round.
+SMALL, GROWTH = 6, 8
+#: Entries of a signature beyond which it is dealt over several buckets, and how many sets go to each of these.
+SPLIT, HUBS = 1 << 16, 16
+#: A task's memory of the sets that it has sent.
+SENT = 1 << 20
 INDEX, INDEX_DELETED, PROBE, PROBE_DELETED = 1, 2, 4, 8
+LOW = U((1 << 32) - 1)
 
 _bands: list[tuple[int, int]] = [(1, 1)]
 
@@ -69,32 +78,35 @@ def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def set_key(tokens: np.ndarray) -> tuple[int, int]:
-    return tuple(int(x.view(np.int64)) for x in (mix(tokens).sum(dtype=U), mix(tokens ^ U(0x5851F42D4C957F2D)).sum(dtype=U)))
+def set_key(tokens: np.ndarray) -> int:
+    """64 bits that stand for the whole set."""
+    return int(mix(mix(tokens).sum(dtype=U)[None] + U(len(tokens)))[0].view(np.int64))
 
 
-def partition(tokens: np.ndarray, band: int) -> tuple[np.ndarray, ...]:
+def partition(tokens: np.ndarray, band: int, seed: int = 0) -> tuple[np.ndarray, ...]:
     m, _ = shape(band)
-    seg = (mix(tokens + U(band * 2 + 1)) % U(m)).astype(np.int64)
+    own = U(band * 2 + 1) ^ U(seed * 0x9E3779B97F4A7C15 % 2**64)
+    seg = (mix(tokens + own) % U(m)).astype(np.int64)
     value = mix(tokens ^ U(0x2545F4914F6CDD1D))
-    sums = np.zeros(m, U)
-    np.add.at(sums, seg, value)
-    salt = mix(np.arange(m, dtype=U) + U(band << 32))
+    order = np.argsort(seg, kind="stable")
+    total = np.concatenate([np.zeros(1, U), np.cumsum(value[order], dtype=U)])
+    sums = np.diff(total[np.searchsorted(seg[order], np.arange(m + 1))])
+    salt = mix(np.arange(m, dtype=U) + (U(band << 32) ^ own))
     return seg, value, sums, salt, mix(sums ^ salt)
 
 
-def entries(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+def entries(tokens: np.ndarray, sketch: np.ndarray, seed: int = 0) -> np.ndarray:
     """Signatures of a set, with their roles in the four low bits."""
     n, out = len(tokens), []
     k = bands(n)
     for band, own in ((k, True), (k - 1, False)) if k else ((k, True),):
         m, two = shape(band)
         units = (2 * n if own else _bands[band][1] + n) // 9 + 1
-        seg, value, sums, salt, exact = partition(tokens, band)
-        cost = sketch[(exact >> U(4)) % U(SKETCH)].astype(float)
+        seg, value, sums, salt, exact = partition(tokens, band, seed)
+        cost = sketch[slot(exact)].astype(float)
         near = np.flatnonzero(seg < two)
         deleted = mix((sums[seg[near]] - value[near]) ^ salt[seg[near]])
-        more = np.bincount(seg[near], sketch[(deleted >> U(4)) % U(SKETCH)] + 1.0, two) + 1
+        more = np.bincount(seg[near], sketch[slot(deleted)] + 1.0, two) + 1
         chosen = np.argsort(np.concatenate([cost, np.maximum(more, cost[:two]) + 0.5]), kind="stable")[:units]
         allotted = np.zeros(m, np.int64)
         np.add.at(allotted, np.where(chosen < m, chosen, chosen - m), 1)
@@ -112,61 +124,300 @@ def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return one | other
 
 
-def pair_up(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids to verify, and the numbers of the entries of large groups."""
-    order = np.lexsort((ids, sig >> U(4)))
-    sig, ids = sig[order], ids[order]
+def pair_up(sig: np.ndarray, nodes: np.ndarray, groups: np.ndarray, small: int, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes to verify, and the numbers of the entries of large signatures.
+
+    Nodes of one group (the component that they are known to be in) aren't paired. A large signature's hub is the
+    node of the least hash, which is the same in every bucket that the signature is dealt over. split: whether
+    an entry's signature is dealt over several buckets, and so counts as large whatever is here of it.
+    """
+    order = np.lexsort((mix(nodes.view(U)), sig >> U(4)))
+    sig, nodes, groups, split = sig[order], nodes[order], groups[order], split[order]
     role, key = (sig & U(15)).astype(np.int64), sig >> U(4)
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(begin, len(key)))
     pairs, large = [], []
-    for s in range(2, SMALL + 1):
-        rows = begin[size == s][:, None] + np.arange(s)
+    whole = ~split[begin]
+    for s in range(2, min(small, 6) + 1):
+        rows = begin[(size == s) & whole][:, None] + np.arange(s)
         for i, j in itertools.combinations(range(s), 2):
             a, b = rows[:, i], rows[:, j]
-            ok = joined(role[a], role[b]) & (ids[a] != ids[b])
-            pairs.append(np.stack([ids[a[ok]], ids[b[ok]]], 1))
-    for b, s in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            ok = joined(role[a], role[b]) & (groups[a] != groups[b])
+            pairs.append(np.stack([nodes[a[ok]], nodes[b[ok]]], 1))
+    others = (size > min(small, 6)) | ~whole
+    for b, s, w in zip(begin[others].tolist(), size[others].tolist(), whole[others].tolist(), strict=True):
         every = np.arange(b, b + s)
+        if w and s <= small:
+            for i in range(s - 1):
+                rest = every[i + 1 :]
+                rest = rest[joined(role[b + i], role[rest]) & (groups[rest] != groups[b + i])]
+                pairs.append(np.stack([np.full(len(rest), nodes[b + i]), nodes[rest]], 1))
+            continue
         any_role = np.bitwise_or.reduce(role[every])
-        if not (any_role & PROBE and any_role & INDEX or any_role & PROBE_DELETED and any_role & INDEX_DELETED):
+        if w and not (any_role & PROBE and any_role & INDEX or any_role & PROBE_DELETED and any_role & INDEX_DELETED):
             continue
         large.append(order[every])
         for kind, other in ((INDEX, PROBE), (PROBE, INDEX), (INDEX_DELETED, PROBE_DELETED), (PROBE_DELETED, INDEX_DELETED)):
             hubs, spokes = every[role[every] & kind > 0], every[role[every] & other > 0]
             if len(hubs) and len(spokes):
-                x = ids[spokes[ids[spokes] != ids[hubs[0]]]]
-                pairs.append(np.stack([np.minimum(x, ids[hubs[0]]), np.maximum(x, ids[hubs[0]])], 1))
+                x = nodes[spokes[groups[spokes] != groups[hubs[0]]]]
+                pairs.append(np.stack([x, np.full(len(x), nodes[hubs[0]])], 1))
     found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
     found = np.unique(np.sort(found, 1), axis=0) if len(found) else found
     return found, np.concatenate(large) if large else np.zeros(0, np.int64)
 
 
+def slot(sig: np.ndarray) -> np.ndarray:
+    return ((sig >> U(4)) % U(SKETCH)).astype(np.int64)
+
+
+def dealt(sig: np.ndarray, node: np.ndarray, sketch: np.ndarray, buckets: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each entry that is sent: its number, its signature's home and the bucket it goes to; they differ only where a signature is split."""
+    home = ((sig >> U(32)) % U(buckets)).astype(np.int64)
+    at, bucket = np.arange(len(sig)), home.copy()
+    many = sketch[slot(sig)]
+    for i in np.flatnonzero(many > limit).tolist():
+        parts = 1 + int(many[i]) // limit
+        h = int(mix(node[i : i + 1].view(U) ^ U(0xA24BAED4963EE407))[0])
+        bucket[i] = (home[i] + h % parts) % buckets
+        if int(mix(node[i : i + 1].view(U))[0]) < 2**64 * HUBS // int(many[i]):
+            others = np.setdiff1d((home[i] + np.arange(min(parts, buckets))) % buckets, bucket[i : i + 1])
+            at, bucket = np.concatenate([at, np.full(len(others), i)]), np.concatenate([bucket, others])
+    return at, home[at], bucket
+
+
 def tally(tokens: np.ndarray) -> np.ndarray:
-    """How many tokens fall into each of a power of two of groups, from n / 4 to n / 2 of them."""
-    groups = 1 << max(4, int(len(tokens) // 2).bit_length() - 1)
-    return np.bincount((mix(tokens ^ U(0x1CE4E5B9BF58476D)) & U(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+    """How many tokens, 255 at most, fall into each of a power of two of groups, from n / 8 to n / 4 of them."""
+    groups = 1 << max(4, int(len(tokens) // 4).bit_length() - 1)
+    return np.minimum(np.bincount((mix(tokens ^ U(0x1CE4E5B9BF58476D)) & U(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
 
-def can_be_similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """False if two sets' tallies differ by more than similar sets' tokens can. The finer tally is folded onto the coarser."""
+def can_be_similar(x: np.ndarray, y: np.ndarray, total: int) -> bool:
+    """False if two sets' tallies differ by more than tokens of similar sets, total in all, can. The finer tally is folded onto the coarser."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
     if len(x) != len(y):
-        x, y = (v.reshape(-1, min(len(x), len(y))).sum(0) for v in (x, y))
-    return 9 * int(np.abs(x - y).sum()) <= int(x.sum() + y.sum())
+        x, y = (np.minimum(v.reshape(-1, min(len(x), len(y))).sum(0), 255) for v in (x, y))
+    return 9 * int(np.abs(x - y).sum()) <= total
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= 80 * (len(x) + len(y) - both)
+
+
+class Join:
+    """One run: the tables sets (id, n, node; one row per input row), nodes (node, n, rep, tally) and found (node, component).
 
+    A node is a set of shingles, and rep the least id of a text that has it. Nodes without a link aren't in found.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int):
+        self.spark, self.words, self.tables = docs.sparkSession, words, Tables(docs.sparkSession, "jaccard")
+        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        self.buckets = max(1, math.ceil(text_bytes(self.docs, "text") / 6 * 0.75 / BUCKET_ENTRIES))
+        self._read()
+        links, small, seed, pending = None, SMALL, 0, None
+        while True:
+            pairs = self._pairs(pending, seed, small)
+            new = self._verified(pairs.where("b IS NOT NULL").select("a", "b").distinct())
+            if seed == 0 or new.take(1):
+                links = self.tables.put(new if links is None else links.unionByName(new).distinct(), "links")
+                self.found = components(links, "a", "b")
+            pending = self._pending(pairs.where("b IS NULL"))
+            if not pending.take(1):
+                break
+            small, seed = small * GROWTH, seed + 1
+        self.links = links
+        self.tables.drop("pairs", "near", "arrays", "verified", "pending")
+
+    def _read(self) -> None:
+        """One pass over the texts: sets, tallies of those that are new to a task, and counts of all index entries."""
+        words = self.words
+
+        def read(batches):
+            total, known, part = np.zeros(SKETCH, np.int32), set(), _Part(words)
+            for batch in batches:
+                ids = batch.column("id")
+                for lo, sets in part.of(batch):
+                    keys, tallies = [], []
+                    for i, s in enumerate(sets):
+                        keys.append(set_key(s) if len(s) else None)
+                        fresh = len(s) > 0 and ids[lo + i].is_valid and keys[-1] not in known
+                        tallies.append(blob(tally(s)) if fresh else None)
+                        if fresh:
+                            known.add(keys[-1])
+                            np.add.at(total, slot(partition(s, bands(len(s)))[4]), 1)
+                    known = known if len(known) < SENT else set()
+                    yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(tallies, pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+            blocks = _blocks(total)
+            none = [pa.nulls(blocks.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, *blocks.columns], names=names)
+
+        names = ["id", "n", "node", "tally", "block", "counts"]
+        rows = self.tables.put(self.docs.mapInArrow(read, "id long, n long, node long, tally binary, block int, counts binary"), "read")
+
+        self.sketch = self._sketch(rows.where("block IS NOT NULL").select("block", "counts"))
+        self.sets = rows.where("block IS NULL").select("id", "n", "node")
+        told = rows.where("node IS NOT NULL AND id IS NOT NULL")
+        self.nodes = self.tables.put(told.groupBy("node").agg(F.min("n").alias("n"), F.min("id").alias("rep"), F.min("tally").alias("tally")), "nodes")
+
+    def _sketch(self, blocks: DataFrame):
+        """The tasks' counts, added up and broadcast: of fixed size, 32 blocks and 2 MB in all."""
+
+        def add(table: pa.Table) -> pa.Table:
+            total = np.zeros(SKETCH // 32, np.int64)
+            for x in unblob(table["counts"], np.int32):
+                total += x
+            return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([blob(total)], pa.binary())})
+
+        counted = blocks.groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+        return self.spark.sparkContext.broadcast(np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(counted, key=lambda r: r.block)]) if counted else np.zeros(SKETCH, np.int64))
+
+    def _recount(self, texts: DataFrame, seed: int):
+        """The sketch of the texts of a later round, under its partition."""
+        words = self.words
+
+        def count(batches):
+            total, part = np.zeros(SKETCH, np.int32), _Part(words)
+            for batch in batches:
+                for _, sets in part.of(batch):
+                    for s in sets:
+                        if len(s):
+                            np.add.at(total, slot(partition(s, bands(len(s)), seed)[4]), 1)
+            yield _blocks(total)
+
+        return self._sketch(texts.mapInArrow(count, "block int, counts binary"))
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node of the links (a, b): the least node that can be reached. All in tables, none on the driver."""
-    both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("other"))
-        near = labels.join(seen, "node").select("node", F.col("component").alias("before"), F.least("component", "other").alias("component"))
-        up = near.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        new = written(near.join(up, "component", "left").select("node", "before", F.least("component", F.coalesce("above", "component")).alias("component")), "labels")
-        labels = new.select("node", "component")
-        if not new.where("component <> before").take(1):
-            return labels
+    def _pairs(self, pending: DataFrame | None, seed: int, small: int) -> DataFrame:
+        """Rows a, b: pairs to verify. Rows sig, a (b is null): the members of signatures that aren't paired in full.
+
+        pending: id, node and component of the sets of this round; all sets where there is none.
+        """
+        buckets, words, limit, later = self.buckets, self.words, max(SPLIT, small), pending is not None
+        texts = self.docs.where("id IS NOT NULL") if pending is None else self.docs.join(pending, "id")
+        sketch = self.sketch if pending is None else self._recount(texts, seed)
+
+        def send(batches):
+            known, part = set(), _Part(words)
+            for batch in batches:
+                at = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("node", "component")} if later else None
+                for lo, sets in part.of(batch):
+                    sigs, nodes, groups = [], [], []
+                    for i, s in enumerate(sets):
+                        key = set_key(s) if len(s) else None
+                        if key is None or key in known or at is not None and key != at["node"][lo + i]:
+                            continue
+                        known.add(key)
+                        sigs.append(entries(s, sketch.value, seed))
+                        nodes.append(key)
+                        groups.append(key if at is None else at["component"][lo + i])
+                    known = known if len(known) < SENT else set()
+                    if nodes:
+                        yield from _rows(np.concatenate(sigs), np.repeat(np.arange(len(nodes)), [len(x) for x in sigs]), np.array(nodes, np.int64), np.array(groups, np.int64), sketch.value, buckets, limit, at is not None)
+
+        def pair(table: pa.Table) -> pa.Table:
+            counts = unblob(table["counts"], np.uint16)
+            spread = lambda name: np.concatenate([np.repeat(i, c) for i, c in zip(unblob(table[name], np.int64), counts, strict=True)])
+            nodes = spread("nodes")
+            groups = spread("groups") if later else nodes
+            sig = np.concatenate([U(h << 32) | x.astype(U) for h, x in zip(table["home"].to_pylist(), unblob(table["sigs"], np.uint32), strict=True)])
+            pairs, large = pair_up(sig, nodes, groups, small, sketch.value[slot(sig)] > limit)
+            return pa.table({
+                "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(nodes[large])]), "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(large), pa.int64())]),
+                "sig": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array((sig[large] >> U(4)).view(np.int64))]),
+            })
+
+        sent = texts.mapInArrow(send, "bucket int, home int, nodes binary, groups binary, counts binary, sigs binary")
+        return self.tables.put(sent.groupBy("bucket").applyInArrow(pair, "a long, b long, sig long"), "pairs")
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs, those that link. Tallies rule most others out beforehand; the rest compare their sets."""
+
+        def near(batches):
+            for batch in batches:
+                x, y = (unblob(batch.column(c), np.uint8) for c in ("x", "y"))
+                total = (batch.column("xn").to_numpy() + batch.column("yn").to_numpy()).tolist()
+                keep = pa.array([i for i in range(len(x)) if can_be_similar(x[i], y[i], total[i])], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
+
+        x, y = (self.nodes.select(F.col("node").alias(e), F.col("n").alias(c + "n"), F.col("tally").alias(c)) for e, c in (("a", "x"), ("b", "y")))
+        like = "5 * least(xn, yn) >= 4 * greatest(xn, yn)"
+        pairs = pairs.join(x, "a").join(y, "b").where(like).select("a", "b", "xn", "yn", "x", "y")
+        pairs = self.tables.put(pairs.mapInArrow(near, "a long, b long"), "near")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        need = self.tables.put(ends.join(self.nodes, "node").select(F.col("rep").alias("id"), "node"), "need")
+        words = self.words
+
+        def arrays(batches):
+            known, part = set(), _Part(words)
+            for batch in batches:
+                nodes = batch.column("node").to_pylist()
+                for lo, sets in part.of(batch):
+                    keep = [(k, s) for k, s in zip(nodes[lo : lo + len(sets)], sets, strict=True) if k not in known and len(s) and set_key(s) == k]
+                    known.update(k for k, _ in keep)
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int64()), pa.array([blob(s) for _, s in keep], pa.binary())], names=["node", "tokens"])
+
+        sets = self.tables.put(self.docs.join(need, "id").mapInArrow(arrays, "node long, tokens binary"), "arrays")
+        x, y = (sets.select(F.col("node").alias(e), F.col("tokens").alias(c)) for e, c in (("a", "x"), ("b", "y")))
+
+        def link(batches):
+            for batch in batches:
+                x, y = (unblob(batch.column(c)) for c in ("x", "y"))
+                keep = pa.array([i for i in range(len(x)) if similar(x[i], y[i])], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
+
+        linked = self.tables.put(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(link, "a long, b long").distinct(), "verified")
+        self.tables.drop("arrays", "near", "need")
+        return linked
+
+    def _pending(self, listed: DataFrame) -> DataFrame:
+        """id, node and component of the members of listed signatures that hold more than one component."""
+        named = listed.join(self.found, listed["a"] == self.found["node"], "left").select("sig", F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))
+        split = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
+        waiting = named.join(split, "sig", "left_semi").select("node", "component").distinct()
+        return self.tables.put(waiting.join(self.nodes, "node").select(F.col("rep").alias("id"), "node", "component"), "pending")
+
+    def components(self) -> DataFrame:
+        """node, rep, component (a node) of every node."""
+        return self.nodes.select("node", "rep").join(self.found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+
+
+class _Part:
+    """Cuts batches into parts of bounded size; a plain object, as it travels to executors."""
+
+    def __init__(self, words: int):
+        self.words = words
+
+    def of(self, batch: pa.RecordBatch):
+        column = batch.column(batch.schema.get_field_index("text"))
+        for lo, hi in slices(column, CHUNK_BYTES):
+            yield lo, shingle_sets(column.slice(lo, hi - lo), self.words)
+
+
+def _blocks(total: np.ndarray) -> pa.RecordBatch:
+    counts = [blob(x) for x in np.split(total, 32)] if total.any() else []
+    return pa.RecordBatch.from_arrays([pa.array(range(len(counts)), pa.int32()), pa.array(counts, pa.binary())], names=["block", "counts"])
+
+
+def _rows(sig, owner, nodes, groups, sketch, buckets, limit, grouped):
+    """Batches of entries by bucket and home: the nodes, how many entries each has there, and these entries' low bits."""
+    at, home, bucket = dealt(sig, nodes[owner], sketch, buckets, limit)
+    order = np.lexsort((owner[at], home, bucket))
+    at, home, bucket = at[order], home[order], bucket[order]
+    key = bucket * buckets + home
+    cuts = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
+    rows = {"bucket": bucket[cuts[:-1]], "home": home[cuts[:-1]], "nodes": [], "groups": [], "counts": [], "sigs": []}
+    for a, b in itertools.pairwise(cuts.tolist()):
+        who = owner[at[a:b]]
+        # A count has 16 bits; a set with more entries in a bucket is listed again.
+        first = np.unique(np.concatenate([np.flatnonzero(np.diff(who, prepend=-1)), np.arange(0, b - a, 1 << 15)]))
+        rows["nodes"].append(blob(nodes[who[first]]))
+        rows["groups"].append(blob(groups[who[first]]) if grouped else b"")
+        rows["counts"].append(blob(np.diff(np.append(first, b - a)).astype(np.uint16)))
+        rows["sigs"].append(blob((sig[at[a:b]] & LOW).astype(np.uint32)))
+    yield pa.RecordBatch.from_arrays([pa.array(rows[c], pa.int32()) if c in ("bucket", "home") else pa.array(rows[c], pa.binary()) for c in rows], names=list(rows))
 
 
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -174,140 +425,51 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Sets are the distinct 5-word shingles of the lower-cased (A-Z) text, words being runs of anything but ASCII
     white space; with fewer words the whole sequence is the one shingle. Two texts link when their intersection
-    has at least 4/5 of the size of their union, decided on 64-bit hashes of all shingles. component_id is the
-    smallest id that links reach. Null, empty and blank texts have no shingles and link with nothing, not even
-    each other. Rows with a null id link with nothing and have a null component_id. Rows that share an id are one
-    node. Other columns are not read; an empty table gives an empty one.
+    has at least 4/5 of the size of their union, decided on 64-bit hashes of all shingles (a set as a whole is
+    known by 64 bits as well). component_id is the smallest id that links reach. Null, empty and blank texts have
+    no shingles and link with nothing, not even each other. Rows with a null id link with nothing and have a null
+    component_id. Rows that share an id are one node, whatever their texts: what links to one of them links to
+    all. Other columns are not read; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = text_bytes(docs, "text")
-    buckets = max(1, math.ceil(size / 6 * 0.6 / BUCKET_ENTRIES))
-
-    def keys(batches):
-        for batch in batches:
-            sets = shingle_sets(batch.column("text"), words)
-            key = [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in key], pa.int64()), pa.array([k[1] for k in key], pa.int64())], names=["id", "n", "k1", "k2"])
-
-    sets = written(docs.mapInArrow(keys, "id long, n long, k1 long, k2 long"), "sets")
-    classes = sets.where("n > 0 AND id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    chosen = docs.join(classes.select(F.col("rep").alias("id"), "n", "k1", "k2"), "id")
-    texts = written(chosen, "texts").select("id", "text", "k1", "k2")
-
-    def own(batch: pa.RecordBatch):
-        """The sets that are the classes' own (an id can have several texts), in parts of bounded size."""
-        column = batch.column("text")
-        for lo, hi in slices(column, CHUNK_BYTES):
-            found = shingle_sets(column.slice(lo, hi - lo), words)
-            k1, k2, ids = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("k1", "k2", "id"))
-            yield [(i, s) for i, s, a, b in zip(ids, found, k1, k2, strict=True) if set_key(s) == (a, b)]
-
-    def count(batches):
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for part in own(batch):
-                for _, s in part:
-                    np.add.at(total, ((partition(s, bands(len(s)))[4] >> U(4)) % U(SKETCH)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(64), pa.int32()), "counts": [blob(x) for x in np.split(total, 64)]})
-
-    def add(table: pa.Table) -> pa.Table:
-        return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([blob(np.sum(unblob(table["counts"], np.int64), axis=0))], pa.binary())})
-
-    counted = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    # Of fixed size: 64 blocks, 2 MB in all.
-    sketch = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(counted, key=lambda r: r.block)]) if counted else np.zeros(SKETCH, np.int64)
-    shared = spark.sparkContext.broadcast(sketch)
-
-    def send(batches):
-        for batch in batches:
-            for part in own(batch):
-                if not part:
-                    continue
-                made = [entries(s, shared.value) for _, s in part]
-                ids = np.repeat(np.array([i for i, _ in part], np.int64), [len(x) for x in made])
-                sig = np.concatenate(made)
-                bucket = ((sig >> U(24)) % U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-                rows = {"bucket": [], "ids": [], "counts": [], "sigs": []}
-                for b, (s, i) in enumerate(zip(np.split(sig[order], ends[:-1]), np.split(ids[order], ends[:-1]), strict=True)):
-                    if len(s):
-                        first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-                        rows["bucket"].append(b)
-                        rows["ids"].append(blob(i[first]))
-                        rows["counts"].append(blob(np.diff(np.append(first, len(i))).astype(np.int32)))
-                        rows["sigs"].append(blob(s))
-                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("ids", "counts", "sigs"))], names=list(rows))
-
-    def pair(table: pa.Table) -> pa.Table:
-        ids = np.concatenate([np.repeat(i, c) for i, c in zip(unblob(table["ids"], np.int64), unblob(table["counts"], np.int32), strict=True)])
-        sig = np.concatenate(unblob(table["sigs"]))
-        pairs, large = pair_up(sig, ids)
-        none = pa.nulls(len(pairs), pa.int64())
-        return pa.table({
-            "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(ids[large])]), "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(large), pa.int64())]),
-            "sig": pa.concat_arrays([none, pa.array((sig[large] >> U(4)).view(np.int64))]), "role": pa.concat_arrays([none, pa.array((sig[large] & U(15)).view(np.int64))]),
-        })
-
-    paired = written(texts.mapInArrow(send, "bucket int, ids binary, counts binary, sigs binary").groupBy("bucket").applyInArrow(pair, "a long, b long, sig long, role long"), "pairs")
-
-    def sketch_of(batches):
-        for batch in batches:
-            for part in own(batch):
-                if part:
-                    yield pa.RecordBatch.from_pydict({"id": [i for i, _ in part], "tally": [blob(tally(t)) for _, t in part]})
-
-    tallies = written(texts.mapInArrow(sketch_of, "id long, tally binary"), "tallies")
-
-    def near(batches):
-        for batch in batches:
-            x, y = (unblob(batch.column(c), np.int32) for c in ("x", "y"))
-            keep = pa.array([i for i in range(len(x)) if can_be_similar(x[i], y[i])], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Of the pairs, those that link. Tallies, of a twelfth of the texts' size, rule most others out beforehand."""
-        x, y = tallies.select(F.col("id").alias("a"), F.col("tally").alias("x")), tallies.select(F.col("id").alias("b"), F.col("tally").alias("y"))
-        pairs = written(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(near, "a long, b long").distinct(), "near")
-        left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
-        right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
-
-        def similar(batches):
-            for batch in batches:
-                known: dict[int, list] = {}
-                keep = []
-                for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                    for c, x in (("left", a), ("right", b)):
-                        if (c, x) not in known:
-                            known[c, x] = shingle_sets(batch.column(c).slice(i, 1), words)[0]
-                    x, y = known["left", a], known["right", b]
-                    both = len(np.intersect1d(x, y, assume_unique=True)) if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) else 0
-                    if 100 * both >= 80 * (len(x) + len(y) - both):
-                        keep.append(i)
-                    if len(known) > 4096:
-                        known = {}
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int32())) for c in ("a", "b")], names=["a", "b"])
-
-        return written(pairs.join(left, "a").join(right, "b").mapInArrow(similar, "a long, b long"), "verified")
-
-    first = paired.where("b IS NOT NULL").select("a", "b").distinct()
-    links = verify(first)
-    found = components(links)
-    rest = paired.where("b IS NULL")
-    if rest.take(1):
-        member = rest.join(found, rest["a"] == found["node"], "left").select("sig", "role", F.col("a").alias("id"), F.coalesce("component", "a").alias("c"))
-        split = member.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-        member = member.join(split, "sig")
-        x, y = member.alias("x"), member.alias("y")
-        allowed = F.expr("((x.role & 4) > 0 AND (y.role & 1) > 0) OR ((x.role & 8) > 0 AND (y.role & 2) > 0) OR ((y.role & 4) > 0 AND (x.role & 1) > 0) OR ((y.role & 8) > 0 AND (x.role & 2) > 0)")
-        more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & allowed).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        more = verify(more.join(first, ["a", "b"], "left_anti"))
-        if more.take(1):
-            found = components(links.union(more))
-    named = sets.join(classes, ["n", "k1", "k2"], "left").join(found, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "rep", "id"))
-    return named.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    run = Join(docs, id_col, text_col, words)
+    sets, tables = run.sets, run.tables
+    shared = tables.put(sets.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where("rows > 1").select("id", "first"), "shared")
+    repeats = bool(shared.take(1))
+    if repeats:
+        same = sets.where("node IS NOT NULL").join(shared, "id").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        run.found = components(run.links.unionByName(same.distinct()), "a", "b")
+    named = tables.put(run.components(), "named")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    reached = named.join(least, "component").select("node", "component_id")
+    out = sets.join(reached, "node", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    if repeats:
+        of_id = out.join(shared.select("id"), "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("least"))
+        out = out.join(of_id, "id", "left").select("id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    return out
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """The rows of docs without near duplicates: of each component of linked texts, the row with the smallest id.
+
+    Of rows that share both that id and the set of shingles one stays; texts that differ are judged by themselves
+    even where they share an id. Rows with a null id and rows without words all stay. All columns are kept, with
+    any names; an empty table gives an empty one.
+    """
+    run = Join(docs, id_col, text_col, words)
+    of_node = run.components().select("node", "component")
+    sets = run.tables.put(run.sets.where("id IS NOT NULL AND node IS NOT NULL").groupBy("id", "node").agg(F.count("*").alias("rows")).join(of_node, "node"), "dealt")
+    best = sets.groupBy("component").agg(F.min(F.struct("id", "node")).alias("best"))
+    gone = run.tables.put(sets.join(best, "component").where((F.col("best.id") != F.col("id")) | (F.col("best.node") != F.col("node"))).select("id", "node"), "gone")
+    if not sets.groupBy("id").agg(F.sum("rows").alias("rows")).where("rows > 1").take(1):
+        own = gone.select(F.col("id").alias("_gone"))
+        return docs.join(own, docs[id_col].cast("long") == own["_gone"], "left_anti")
+    # Some id has several rows: rows are known by id and set.
+    marked = annotate(docs, text_col, docs.columns, lambda texts: [pa.array([set_key(s) if len(s) else None for lo, hi in slices(texts, CHUNK_BYTES) for s in shingle_sets(texts.slice(lo, hi - lo), words)], pa.int64())], "node long")
+    marked = marked.withColumn("id", F.col("row")[id_col].cast("long"))
+    stay = marked.join(gone, ["id", "node"], "left_anti")
+    whole = "id IS NOT NULL AND node IS NOT NULL"
+    kept = stay.where(whole).dropDuplicates(["id", "node"]).unionByName(stay.where(f"NOT ({whole})"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,11 @@ def brute(rows, n=5):
                 seen.add((j, i))
                 a, b = sorted((root(i), root(j)), key=lambda k: rows[k][0])
                 up[b] = a
+    for i, (a, _) in enumerate(rows):  # rows that share an id are one node
+        for j in range(i):
+            if a is not None and rows[j][0] == a:
+                x, y = sorted((root(i), root(j)), key=lambda k: rows[k][0])
+                up[y] = x
     return [(i, len(s), None if i is None else rows[root(k)][0]) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))]
 
 
@@ -65,7 +70,33 @@ def test_against_brute_force(spark):
 def test_large_groups(spark, monkeypatch):
     rng = random.Random(9)
     monkeypatch.setattr(jaccard_join, "SMALL", 2)
-    check(spark, make(rng, 5, [30, 60, 200], 40) + make(rng, 0, [1], 2))
+    monkeypatch.setattr(jaccard_join, "GROWTH", 3)
+    check(spark, make(rng, 5, [30, 60, 200], 40))
+
+
+def test_hot_signatures_are_split(spark, monkeypatch):
+    rng = random.Random(10)
+    for name, value in (("SMALL", 2), ("GROWTH", 2), ("SPLIT", 8), ("HUBS", 2), ("BUCKET_ENTRIES", 200)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    check(spark, make(rng, 4, [30, 60, 120], 60))
+
+
+def test_texts_of_one_id(spark):
+    words = " ".join(f"a{i}" for i in range(30))
+    other = " ".join(f"b{i}" for i in range(30))
+    check(spark, [(3, words), (5, words + " x"), (5, other), (9, other + " y"), (7, None), (7, words + " z"), (11, "")])
+
+
+def test_deduplicate(spark):
+    words, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, words, 1), (5, words + " x", 2), (5, other, 3), (9, other + " y", 4), (None, words, 5), (11, "", 6), (12, None, 7), (3, words, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long")
+    got = sorted(tuple(r) for r in jaccard_join.deduplicate(docs).select("doc_id", "text").na.fill(-1).na.fill("").collect())
+    assert got == sorted([(3, words), (5, other), (-1, words), (11, ""), (12, "")])
+    unique = docs.where("id NOT IN (3, 8)")
+    got = {r.id for r in jaccard_join.deduplicate(unique).collect()}
+    assert got == {1, 4, 5, 6, 7}
+    assert jaccard_join.deduplicate(docs.limit(0)).collect() == []
 
 
 def test_empty(spark):
@@ -89,6 +120,6 @@ def test_tallies_never_rule_out_similar_sets():
             y = np.concatenate([x[: n - rng.integers(0, 1 + n // 9)], rng.integers(1, 2**63, rng.integers(0, 1 + n // 9)).astype(np.uint64)])
             both = len(np.intersect1d(x, y))
             if 100 * both >= 80 * (len(x) + len(y) - both):
-                assert jaccard_join.can_be_similar(jaccard_join.tally(x), jaccard_join.tally(y))
+                assert jaccard_join.can_be_similar(jaccard_join.tally(x), jaccard_join.tally(y), len(x) + len(y))
     a, b = (rng.integers(1, 2**63, 500).astype(np.uint64) for _ in range(2))
-    assert not jaccard_join.can_be_similar(jaccard_join.tally(a), jaccard_join.tally(b))
+    assert not jaccard_join.can_be_similar(jaccard_join.tally(a), jaccard_join.tally(b), 1000)
