@@ -17,10 +17,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one with the smallest doc_id. Documents with a null doc_id stay."""
-    kept = jaccard_join.similarity_join(docs).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Of each component of linked texts, the document with the smallest doc_id; null ids and texts without words stay.
+
+    Rows that share a doc_id are judged each by its text; of rows that share both one stays.
+    """
+    return jaccard_join.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
