@@ -40,9 +40,11 @@ BUCKET_ENTRIES = 1 << 20
 #: Entries of a signature that are all paired at once in the first round; the limit grows from round to round.
 SMALL, GROWTH = 6, 8
 #: Entries of a signature beyond which it is dealt over several buckets, and how many sets go to each of these.
-SPLIT, HUBS = 1 << 16, 16
+SPLIT, HUBS = 1 << 16, 4
 #: A task's memory of the sets that it has sent.
 SENT = 1 << 20
+#: Buckets of the broadcast that texts are filtered by: its bound.
+FILTER = 1 << 20
 INDEX, INDEX_DELETED, PROBE, PROBE_DELETED = 1, 2, 4, 8
 LOW = U((1 << 32) - 1)
 
@@ -124,12 +126,15 @@ def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return one | other
 
 
-def pair_up(sig: np.ndarray, nodes: np.ndarray, groups: np.ndarray, small: int, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pair_up(sig: np.ndarray, nodes: np.ndarray, groups: np.ndarray, small: int, split: np.ndarray, told: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes to verify, and the numbers of the entries of large signatures.
 
-    Nodes of one group (the component that they are known to be in) aren't paired. A large signature's hub is the
-    node of the least hash, which is the same in every bucket that the signature is dealt over. split: whether
-    an entry's signature is dealt over several buckets, and so counts as large whatever is here of it.
+    Nodes of one group (the component that they are known to be in) aren't paired. A signature that at most
+    `small` sets probe (or are indexed under) is paired in full, which costs its size at most so often; another
+    is large. Its hubs are the nodes of the least hashes, which are the same in every bucket that the signature
+    is dealt over. split: whether an entry's signature is dealt over several buckets, and so counts as large
+    whatever is here of it. told: tallies, sizes of sets, and which of these an entry has; nodes that these
+    tell apart aren't paired.
     """
     order = np.lexsort((mix(nodes.view(U)), sig >> U(4)))
     sig, nodes, groups, split = sig[order], nodes[order], groups[order], split[order]
@@ -138,35 +143,47 @@ def pair_up(sig: np.ndarray, nodes: np.ndarray, groups: np.ndarray, small: int,
     size = np.diff(np.append(begin, len(key)))
     pairs, large = [], []
     whole = ~split[begin]
-    for s in range(2, min(small, 6) + 1):
+    vectorised = min(small, 6) if told is None else 1
+    for s in range(2, vectorised + 1):
         rows = begin[(size == s) & whole][:, None] + np.arange(s)
         for i, j in itertools.combinations(range(s), 2):
             a, b = rows[:, i], rows[:, j]
             ok = joined(role[a], role[b]) & (groups[a] != groups[b])
             pairs.append(np.stack([nodes[a[ok]], nodes[b[ok]]], 1))
-    others = (size > min(small, 6)) | ~whole
+    others = (size > vectorised) | ~whole
     for b, s, w in zip(begin[others].tolist(), size[others].tolist(), whole[others].tolist(), strict=True):
         every = np.arange(b, b + s)
-        if w and s <= small:
-            for i in range(s - 1):
-                rest = every[i + 1 :]
-                rest = rest[joined(role[b + i], role[rest]) & (groups[rest] != groups[b + i])]
-                pairs.append(np.stack([np.full(len(rest), nodes[b + i]), nodes[rest]], 1))
-            continue
-        any_role = np.bitwise_or.reduce(role[every])
-        if w and not (any_role & PROBE and any_role & INDEX or any_role & PROBE_DELETED and any_role & INDEX_DELETED):
-            continue
-        large.append(order[every])
-        for kind, other in ((INDEX, PROBE), (PROBE, INDEX), (INDEX_DELETED, PROBE_DELETED), (PROBE_DELETED, INDEX_DELETED)):
-            hubs, spokes = every[role[every] & kind > 0], every[role[every] & other > 0]
-            if len(hubs) and len(spokes):
-                x = nodes[spokes[groups[spokes] != groups[hubs[0]]]]
-                pairs.append(np.stack([x, np.full(len(x), nodes[hubs[0]])], 1))
+        for index, probe in ((INDEX, PROBE), (INDEX_DELETED, PROBE_DELETED)):
+            x, y = every[role[every] & index > 0], every[role[every] & probe > 0]
+            if len(x) > len(y):
+                x, y = y, x
+            if w and not len(x):
+                continue
+            full = w and len(x) <= small
+            if not full:
+                large.append(order[np.union1d(x, y)])
+            for few, many in ((x, y),) if full else ((x, y), (y, x)):
+                # All of them, or hubs: the first nodes of some groups, in the order of their hashes.
+                few = few if full else few[np.sort(np.unique(groups[few], return_index=True)[1])[:HUBS]]
+                near = _compared(few, many, order, told) if told is not None and len(few) and len(many) else None
+                for k, i in enumerate(few.tolist()):
+                    z = many[(groups[many] != groups[i]) & (near(k) if near else True)]
+                    pairs.append(np.stack([np.full(len(z), nodes[i]), nodes[z]], 1))
     found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
     found = np.unique(np.sort(found, 1), axis=0) if len(found) else found
     return found, np.concatenate(large) if large else np.zeros(0, np.int64)
 
 
+def _compared(few: np.ndarray, many: np.ndarray, order: np.ndarray, told: tuple):
+    """For each of few, which of many can be similar by their tallies."""
+    tallies, sizes, number = told
+    x, y = number[order[few]], number[order[many]]
+    least = min(min(len(tallies[i]) for i in x.tolist()), min(len(tallies[i]) for i in y.tolist()))
+    fold = lambda at: np.stack([np.minimum(tallies[i].reshape(-1, least).sum(0, dtype=np.int32), 255) for i in at.tolist()]).astype(np.int16)
+    left, right = fold(x), fold(y)
+    return lambda k: (9 * np.abs(right - left[k]).sum(1, dtype=np.int64) <= sizes[x[k]] + sizes[y]) & (5 * np.minimum(sizes[x[k]], sizes[y]) >= 4 * np.maximum(sizes[x[k]], sizes[y]))
+
+
 def slot(sig: np.ndarray) -> np.ndarray:
     return ((sig >> U(4)) % U(SKETCH)).astype(np.int64)
 
@@ -186,9 +203,14 @@ def dealt(sig: np.ndarray, node: np.ndarray, sketch: np.ndarray, buckets: int, l
     return at, home[at], bucket
 
 
+def _tally_size(n: np.ndarray) -> np.ndarray:
+    """A power of two, from n / 8 to n / 4; 64 at least."""
+    return np.maximum(64, 1 << np.maximum(0, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) - 2))
+
+
 def tally(tokens: np.ndarray) -> np.ndarray:
-    """How many tokens, 255 at most, fall into each of a power of two of groups, from n / 8 to n / 4 of them."""
-    groups = 1 << max(4, int(len(tokens) // 4).bit_length() - 1)
+    """How many tokens, 255 at most, fall into each of a number of groups."""
+    groups = int(_tally_size(np.array([len(tokens)]))[0])
     return np.minimum(np.bincount((mix(tokens ^ U(0x1CE4E5B9BF58476D)) & U(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
 
@@ -218,19 +240,19 @@ class Join:
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         self.buckets = max(1, math.ceil(text_bytes(self.docs, "text") / 6 * 0.75 / BUCKET_ENTRIES))
         self._read()
-        links, small, seed, pending = None, SMALL, 0, None
+        links, waiting, small, seed = None, None, SMALL, 0
         while True:
-            pairs = self._pairs(pending, seed, small)
-            new = self._verified(pairs.where("b IS NOT NULL").select("a", "b").distinct())
+            pairs = self._pairs(waiting, seed, small)
+            new = self._verified(pairs.where("b IS NOT NULL").select("a", "b").distinct(), waiting)
             if seed == 0 or new.take(1):
                 links = self.tables.put(new if links is None else links.unionByName(new).distinct(), "links")
                 self.found = components(links, "a", "b")
-            pending = self._pending(pairs.where("b IS NULL"))
-            if not pending.take(1):
+            waiting = self._waiting(pairs.where("b IS NULL"), waiting)
+            if not waiting.take(1):
                 break
             small, seed = small * GROWTH, seed + 1
         self.links = links
-        self.tables.drop("pairs", "near", "arrays", "verified", "pending")
+        self.tables.drop("pairs", "waiting")
 
     def _read(self) -> None:
         """One pass over the texts: sets, tallies of those that are new to a task, and counts of all index entries."""
@@ -275,64 +297,101 @@ class Join:
         counted = blocks.groupBy("block").applyInArrow(add, "block int, counts binary").collect()
         return self.spark.sparkContext.broadcast(np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(counted, key=lambda r: r.block)]) if counted else np.zeros(SKETCH, np.int64))
 
-    def _recount(self, texts: DataFrame, seed: int):
-        """The sketch of the texts of a later round, under its partition."""
-        words = self.words
+    def _recount(self, waiting: DataFrame, seed: int):
+        """The sketch of the sets of a later round, under its partition."""
 
         def count(batches):
-            total, part = np.zeros(SKETCH, np.int32), _Part(words)
+            total = np.zeros(SKETCH, np.int32)
             for batch in batches:
-                for _, sets in part.of(batch):
-                    for s in sets:
-                        if len(s):
-                            np.add.at(total, slot(partition(s, bands(len(s)), seed)[4]), 1)
+                for s in unblob(batch.column("tokens")):
+                    np.add.at(total, slot(partition(s, bands(len(s)), seed)[4]), 1)
             yield _blocks(total)
 
-        return self._sketch(texts.mapInArrow(count, "block int, counts binary"))
+        return self._sketch(waiting.select("tokens").mapInArrow(count, "block int, counts binary"))
 
-    def _pairs(self, pending: DataFrame | None, seed: int, small: int) -> DataFrame:
+    def _pairs(self, waiting: DataFrame | None, seed: int, small: int) -> DataFrame:
         """Rows a, b: pairs to verify. Rows sig, a (b is null): the members of signatures that aren't paired in full.
 
-        pending: id, node and component of the sets of this round; all sets where there is none.
+        waiting: node, component and tokens of the sets of a later round, which come with their tallies: a bucket
+        pairs only those that can be similar. The first round reads all texts.
         """
-        buckets, words, limit, later = self.buckets, self.words, max(SPLIT, small), pending is not None
-        texts = self.docs.where("id IS NOT NULL") if pending is None else self.docs.join(pending, "id")
-        sketch = self.sketch if pending is None else self._recount(texts, seed)
+        words, limit, later = self.words, max(SPLIT, small), waiting is not None
+        sketch = self._recount(waiting, seed) if later else self.sketch
+        buckets = max(1, math.ceil((waiting.agg(F.sum(F.octet_length("tokens").cast("long"))).first()[0] or 0) / 8 * 0.75 / BUCKET_ENTRIES)) if later else self.buckets
+
+        def sets_of(batch, part, known):
+            """Lists of (node, component, set), of bounded size."""
+            if later:
+                nodes, groups, sets = batch.column("node").to_pylist(), batch.column("component").to_pylist(), unblob(batch.column("tokens"))
+                ends = np.cumsum([len(x) for x in sets]) // (CHUNK_BYTES // 6)
+                for c in np.unique(ends).tolist():
+                    yield [(nodes[i], groups[i], sets[i]) for i in np.flatnonzero(ends == c).tolist()]
+                return
+            for _, sets in part.of(batch):
+                fresh = []
+                for s in sets:
+                    if len(s) and (key := set_key(s)) not in known:
+                        known.add(key)
+                        fresh.append((key, key, s))
+                if len(known) > SENT:
+                    known.clear()
+                yield fresh
 
         def send(batches):
             known, part = set(), _Part(words)
             for batch in batches:
-                at = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("node", "component")} if later else None
-                for lo, sets in part.of(batch):
-                    sigs, nodes, groups = [], [], []
-                    for i, s in enumerate(sets):
-                        key = set_key(s) if len(s) else None
-                        if key is None or key in known or at is not None and key != at["node"][lo + i]:
-                            continue
-                        known.add(key)
-                        sigs.append(entries(s, sketch.value, seed))
-                        nodes.append(key)
-                        groups.append(key if at is None else at["component"][lo + i])
-                    known = known if len(known) < SENT else set()
-                    if nodes:
-                        yield from _rows(np.concatenate(sigs), np.repeat(np.arange(len(nodes)), [len(x) for x in sigs]), np.array(nodes, np.int64), np.array(groups, np.int64), sketch.value, buckets, limit, at is not None)
+                for some in sets_of(batch, part, known):
+                    if some:
+                        sigs = [entries(s, sketch.value, seed) for _, _, s in some]
+                        owner = np.repeat(np.arange(len(some)), [len(x) for x in sigs])
+                        tallies = [tally(s) for _, _, s in some] if later else None
+                        yield _rows(np.concatenate(sigs), owner, np.array([x[0] for x in some], np.int64), np.array([x[1] for x in some], np.int64), np.array([len(x[2]) for x in some], np.int32), tallies, sketch.value, buckets, limit)
 
         def pair(table: pa.Table) -> pa.Table:
             counts = unblob(table["counts"], np.uint16)
-            spread = lambda name: np.concatenate([np.repeat(i, c) for i, c in zip(unblob(table[name], np.int64), counts, strict=True)])
-            nodes = spread("nodes")
-            groups = spread("groups") if later else nodes
+            spread = lambda name, kind: np.concatenate([np.repeat(i, c) for i, c in zip(unblob(table[name], kind), counts, strict=True)])
+            nodes = spread("nodes", np.int64)
+            groups = spread("groups", np.int64) if later else nodes
             sig = np.concatenate([U(h << 32) | x.astype(U) for h, x in zip(table["home"].to_pylist(), unblob(table["sigs"], np.uint32), strict=True)])
-            pairs, large = pair_up(sig, nodes, groups, small, sketch.value[slot(sig)] > limit)
+            told = None
+            if later:
+                each = [np.split(t, np.cumsum(_tally_size(n))[:-1]) for t, n in zip(unblob(table["tallies"], np.uint8), unblob(table["sizes"], np.int32), strict=True)]
+                number = np.repeat(np.arange(sum(map(len, counts))), np.concatenate(counts))
+                told = [t for x in each for t in x], np.concatenate(unblob(table["sizes"], np.int32)).astype(np.int64), number
+            pairs, large = pair_up(sig, nodes, groups, small, sketch.value[slot(sig)] > limit, told)
             return pa.table({
                 "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(nodes[large])]), "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(large), pa.int64())]),
                 "sig": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array((sig[large] >> U(4)).view(np.int64))]),
             })
 
-        sent = texts.mapInArrow(send, "bucket int, home int, nodes binary, groups binary, counts binary, sigs binary")
+        sent = (waiting if later else self.docs.where("id IS NOT NULL")).mapInArrow(send, "bucket int, home int, nodes binary, groups binary, sizes binary, tallies binary, counts binary, sigs binary")
         return self.tables.put(sent.groupBy("bucket").applyInArrow(pair, "a long, b long, sig long"), "pairs")
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
+    def _arrays(self, need: DataFrame, name: str) -> DataFrame:
+        """The columns of need (id, node and more) with the sets, from the texts.
+
+        The texts that aren't asked for go before any moves: by a broadcast of at most FILTER buckets of ids.
+        """
+        bucket = F.pmod(F.xxhash64("id"), F.lit(FILTER)).cast("int").alias("bucket")
+        asked = need.select(bucket).distinct()
+        texts = self.docs.withColumn("bucket", bucket).join(F.broadcast(asked), "bucket", "left_semi").drop("bucket")
+        more, words = [c for c in need.columns if c not in ("id", "node")], self.words
+        names = ["node", *more, "tokens"]
+
+        def arrays(batches):
+            known, part = set(), _Part(words)
+            for batch in batches:
+                nodes = batch.column("node").to_pylist()
+                for lo, sets in part.of(batch):
+                    keep = [i for i, s in enumerate(sets) if nodes[lo + i] not in known and len(s) and set_key(s) == nodes[lo + i]]
+                    known.update(nodes[lo + i] for i in keep)
+                    at = pa.array([lo + i for i in keep], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in names[:-1]], pa.array([blob(sets[i]) for i in keep], pa.binary())], names=names)
+
+        fields = ", ".join(f"{c} long" for c in names[:-1])
+        return self.tables.put(texts.join(need, "id").mapInArrow(arrays, f"{fields}, tokens binary"), name)
+
+    def _verified(self, pairs: DataFrame, waiting: DataFrame | None) -> DataFrame:
         """Of the pairs, those that link. Tallies rule most others out beforehand; the rest compare their sets."""
 
         def near(batches):
@@ -342,24 +401,17 @@ class Join:
                 keep = pa.array([i for i in range(len(x)) if can_be_similar(x[i], y[i], total[i])], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
 
-        x, y = (self.nodes.select(F.col("node").alias(e), F.col("n").alias(c + "n"), F.col("tally").alias(c)) for e, c in (("a", "x"), ("b", "y")))
-        like = "5 * least(xn, yn) >= 4 * greatest(xn, yn)"
-        pairs = pairs.join(x, "a").join(y, "b").where(like).select("a", "b", "xn", "yn", "x", "y")
-        pairs = self.tables.put(pairs.mapInArrow(near, "a long, b long"), "near")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        need = self.tables.put(ends.join(self.nodes, "node").select(F.col("rep").alias("id"), "node"), "need")
-        words = self.words
-
-        def arrays(batches):
-            known, part = set(), _Part(words)
-            for batch in batches:
-                nodes = batch.column("node").to_pylist()
-                for lo, sets in part.of(batch):
-                    keep = [(k, s) for k, s in zip(nodes[lo : lo + len(sets)], sets, strict=True) if k not in known and len(s) and set_key(s) == k]
-                    known.update(k for k, _ in keep)
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int64()), pa.array([blob(s) for _, s in keep], pa.binary())], names=["node", "tokens"])
-
-        sets = self.tables.put(self.docs.join(need, "id").mapInArrow(arrays, "node long, tokens binary"), "arrays")
+        if waiting is None:
+            x, y = (self.nodes.select(F.col("node").alias(e), F.col("n").alias(c + "n"), F.col("tally").alias(c)) for e, c in (("a", "x"), ("b", "y")))
+            like = "5 * least(xn, yn) >= 4 * greatest(xn, yn)"
+            pairs = pairs.join(x, "a").join(y, "b").where(like).select("a", "b", "xn", "yn", "x", "y").mapInArrow(near, "a long, b long")
+        pairs = self.tables.put(pairs, "near")
+        if waiting is None:
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            need = self.tables.put(ends.join(self.nodes, "node").select(F.col("rep").alias("id"), "node"), "need")
+            sets = self._arrays(need, "arrays")
+        else:
+            sets = waiting.select("node", "tokens")
         x, y = (sets.select(F.col("node").alias(e), F.col("tokens").alias(c)) for e, c in (("a", "x"), ("b", "y")))
 
         def link(batches):
@@ -372,12 +424,15 @@ class Join:
         self.tables.drop("arrays", "near", "need")
         return linked
 
-    def _pending(self, listed: DataFrame) -> DataFrame:
-        """id, node and component of the members of listed signatures that hold more than one component."""
+    def _waiting(self, listed: DataFrame, before: DataFrame | None) -> DataFrame:
+        """node, component and tokens of the members of listed signatures that hold more than one component."""
         named = listed.join(self.found, listed["a"] == self.found["node"], "left").select("sig", F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))
         split = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-        waiting = named.join(split, "sig", "left_semi").select("node", "component").distinct()
-        return self.tables.put(waiting.join(self.nodes, "node").select(F.col("rep").alias("id"), "node", "component"), "pending")
+        members = self.tables.put(named.join(split, "sig", "left_semi").select("node", "component").distinct(), "members")
+        if before is not None:
+            return self.tables.put(members.join(before.select("node", "tokens"), "node").repartition("node"), "waiting")
+        need = self.tables.put(members.join(self.nodes, "node").select(F.col("rep").alias("id"), "node", "component"), "need")
+        return self._arrays(need, "waiting")
 
     def components(self) -> DataFrame:
         """node, rep, component (a node) of every node."""
@@ -401,23 +456,26 @@ def _blocks(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(counts)), pa.int32()), pa.array(counts, pa.binary())], names=["block", "counts"])
 
 
-def _rows(sig, owner, nodes, groups, sketch, buckets, limit, grouped):
-    """Batches of entries by bucket and home: the nodes, how many entries each has there, and these entries' low bits."""
+def _rows(sig, owner, nodes, groups, sizes, tallies, sketch, buckets, limit) -> pa.RecordBatch:
+    """Entries by bucket and home: the nodes, how many entries each has there, and these entries' low bits. With tallies also groups, sizes and these."""
     at, home, bucket = dealt(sig, nodes[owner], sketch, buckets, limit)
     order = np.lexsort((owner[at], home, bucket))
     at, home, bucket = at[order], home[order], bucket[order]
     key = bucket * buckets + home
     cuts = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
-    rows = {"bucket": bucket[cuts[:-1]], "home": home[cuts[:-1]], "nodes": [], "groups": [], "counts": [], "sigs": []}
+    rows = {"bucket": bucket[cuts[:-1]], "home": home[cuts[:-1]], **{c: [] for c in ("nodes", "groups", "sizes", "tallies", "counts", "sigs")}}
     for a, b in itertools.pairwise(cuts.tolist()):
         who = owner[at[a:b]]
         # A count has 16 bits; a set with more entries in a bucket is listed again.
         first = np.unique(np.concatenate([np.flatnonzero(np.diff(who, prepend=-1)), np.arange(0, b - a, 1 << 15)]))
-        rows["nodes"].append(blob(nodes[who[first]]))
-        rows["groups"].append(blob(groups[who[first]]) if grouped else b"")
+        named = who[first]
+        rows["nodes"].append(blob(nodes[named]))
+        rows["groups"].append(blob(groups[named]) if tallies else b"")
+        rows["sizes"].append(blob(sizes[named]) if tallies else b"")
+        rows["tallies"].append(b"".join(blob(tallies[i]) for i in named.tolist()) if tallies else b"")
         rows["counts"].append(blob(np.diff(np.append(first, b - a)).astype(np.uint16)))
         rows["sigs"].append(blob((sig[at[a:b]] & LOW).astype(np.uint32)))
-    yield pa.RecordBatch.from_arrays([pa.array(rows[c], pa.int32()) if c in ("bucket", "home") else pa.array(rows[c], pa.binary()) for c in rows], names=list(rows))
+    return pa.RecordBatch.from_arrays([pa.array(rows[c], pa.int32()) if c in ("bucket", "home") else pa.array(rows[c], pa.binary()) for c in rows], names=list(rows))
 
 
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
