@@ -38,9 +38,9 @@ SKETCH = 1 << 18
 CHUNK_BYTES = 2 << 20
 BUCKET_ENTRIES = 1 << 20
 #: Entries of a signature that are all paired at once in the first round; the limit grows from round to round.
-SMALL, GROWTH = 6, 8
+SMALL, GROWTH = 16, 8
 #: Entries of a signature beyond which it is dealt over several buckets, and how many sets go to each of these.
-SPLIT, HUBS = 1 << 16, 4
+SPLIT, HUBS = 1 << 16, 2
 #: A task's memory of the sets that it has sent.
 SENT = 1 << 20
 #: Buckets of the broadcast that texts are filtered by: its bound.
@@ -240,19 +240,29 @@ class Join:
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         self.buckets = max(1, math.ceil(text_bytes(self.docs, "text") / 6 * 0.75 / BUCKET_ENTRIES))
         self._read()
-        links, waiting, small, seed = None, None, SMALL, 0
+        waiting, small, seed = None, SMALL, 0
         while True:
             pairs = self._pairs(waiting, seed, small)
             new = self._verified(pairs.where("b IS NOT NULL").select("a", "b").distinct(), waiting)
-            if seed == 0 or new.take(1):
-                links = self.tables.put(new if links is None else links.unionByName(new).distinct(), "links")
-                self.found = components(links, "a", "b")
+            if seed == 0:
+                self.found = components(new, "a", "b")
+            elif new.take(1):
+                self._merge(new)
             waiting = self._waiting(pairs.where("b IS NULL"), waiting)
             if not waiting.take(1):
                 break
             small, seed = small * GROWTH, seed + 1
-        self.links = links
-        self.tables.drop("pairs", "waiting")
+        self.tables.drop("pairs", "waiting", "verified")
+
+    def _merge(self, links: DataFrame) -> None:
+        """Put links between nodes into found: only components that they touch are looked at."""
+        at = self.found.select(F.col("node").alias("end"), F.col("component").alias("c"))
+        for end in ("a", "b"):
+            links = links.join(at.withColumnRenamed("end", end), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+        over = components(links.where("a <> b"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("least"))
+        known = self.found.join(over, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+        alone = over.join(self.found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("least").alias("component"))
+        self.found = self.tables.put(known.unionByName(alone), "found")
 
     def _read(self) -> None:
         """One pass over the texts: sets, tallies of those that are new to a task, and counts of all index entries."""
@@ -495,7 +505,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeats = bool(shared.take(1))
     if repeats:
         same = sets.where("node IS NOT NULL").join(shared, "id").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        run.found = components(run.links.unionByName(same.distinct()), "a", "b")
+        run._merge(same.distinct())
     named = tables.put(run.components(), "named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     reached = named.join(least, "component").select("node", "component_id")
