@@ -2,27 +2,36 @@
 
 Texts are cut into pieces by the tokenizer's pattern. A task sends each distinct piece once, as an array of
 bytes, through a Spark expression that folds the merges over it: of all neighbouring tokens, the pair of the
-lowest rank becomes one token, until no pair has a rank. The ranks are a literal in the plan: a cuckoo hash
-table, in one array, from pairs of token ids to the id (which is the rank) of the token that they make. The
-same rows come back with the ids and with the bytes that concatenating the tokens' binary pieces gives, and the
-task strings its texts together from them. No row moves, so nothing is shuffled or skewed, and the work a task
-repeats after a loss is its own.
+lowest rank becomes one token, until no pair has a rank. The fold's state is one array of longs, for each token
+the rank of the pair that it makes with the next one, and the token: the least entry is the leftmost pair to
+merge. The ranks are literals in the plan: one array for pairs of bytes, and for pairs of tokens a map laid out in
+two arrays, where the first token picks the row and the second the place in it. The same rows come back with the
+ids and with the bytes that concatenating the tokens' binary pieces gives, and the task strings its texts together
+from them. No text moves, so nothing is skewed, and the work a task repeats after a loss is its own. Pieces that
+are common in a bounded sample of the texts are folded beforehand, once for all tasks, and broadcast: that saves
+work, and changes no result.
+
+Pieces that are a token need no fold and are looked up. As the fold copies its state at each merge, which is
+quadratic in a piece's length, pieces of more than LONG bytes are merged with a heap instead, to the same ids.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from plumbline.llm._spark import text_bytes
+from plumbline.llm._spark import text_bytes, written
 
 #: Texts that wait for their pieces, at most (a longer text waits alone), and bytes of pieces in a row.
 TEXT_BYTES = 8 << 20
@@ -30,7 +39,11 @@ ROW_BYTES = 16 << 10
 #: A task forgets its pieces beyond so many, and sends them anew.
 KNOWN = 1 << 20
 ID_BITS = 18
-SEEDS = (94906267, 67867979)
+LONG = 256
+#: Tokens of a long piece that travel as one.
+RUN = 1024
+#: Pieces that are common in a sample of about so many bytes of text are folded once, for all tasks; so many at most.
+SAMPLE_BYTES, COMMON = 96 << 20, 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,40 +53,75 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The fold in plain Python, by which tokens are found that their own merges don't make."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        low, at = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if low == 1 << 30:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
-
-
-def cuckoo(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, int]:
-    """A table of key << ID_BITS | value in two parts, of size and of size + 2: a key is at key * seed modulo its size in either."""
-    size = max(11, int(len(keys) * 1.3)) | 1
-    while True:
-        table = np.full(2 * size + 2, -1, np.int64)
-        ok = True
-        places = np.stack([keys * SEEDS[0] % size, keys * SEEDS[1] % (size + 2) + size], 1).tolist()
-        held = [-1] * (2 * size + 2)
-        for i in range(len(keys)):
-            now, place = i, places[i][0]
-            for _ in range(500):
-                now, held[place] = held[place], now
-                if now < 0:
-                    break
-                a, b = places[now]
-                place = b if place == a else a
-            else:
-                ok = False
+    """The fold in plain Python: a heap of neighbouring pairs, linear in the piece's length but for the heap."""
+    n = len(piece)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    alive, heap = [True] * n, []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and (rank := ranks.get(piece[i : end[j]])) is not None:
+            heap.append((rank, i, end[j])) if not ready else heapq.heappush(heap, (rank, i, end[j]))
+
+    ready = False
+    for i in range(n - 1):
+        offer(i)
+    heapq.heapify(heap)
+    ready = True
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i] if alive[i] else n
+        if j >= n or end[j] != stop:
+            continue  # one of the two has merged otherwise since
+        alive[j], end[i], after[i] = False, stop, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+
+
+def rows_of(pairs: dict[tuple[int, int], int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A map from pairs of ids in two arrays: pair (a, b) is at place shift[a] + b, as a << ID_BITS | value.
+
+    Rows, the fullest first, take the first shift at which all their places are free.
+    """
+    by_first: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), value in pairs.items():
+        by_first.setdefault(a, []).append((b, value))
+    free = np.ones(size * 2 + len(pairs) * 2, bool)
+    table, shift = np.full(len(free), -1, np.int64), np.zeros(size, np.int64)
+    spare = np.zeros(0, np.int64)
+    singles = []
+    for a, row in sorted(by_first.items(), key=lambda x: -len(x[1])):
+        if len(row) == 1:
+            singles.append((a, *row[0]))
+            continue
+        seconds = np.sort(np.array([b for b, _ in row]))
+        at = 0
+        while True:
+            window = np.flatnonzero(free[at : at + (1 << 12)]) + at - seconds[0]
+            window = window[window >= -int(seconds[0])]
+            fits = window[free[window[:, None] + seconds[None, 1:]].all(1)] if len(window) else window
+            fits = fits[fits >= 0]
+            if len(fits):
+                shift[a] = fits[0]
                 break
-        if ok:
-            at = np.array(held)
-            table[at >= 0] = keys[at[at >= 0]] << ID_BITS | values[at[at >= 0]]
-            return table, size
-        size += 2 + size // 50 * 2
+            at += 1 << 12
+        free[shift[a] + seconds] = False
+        for b, value in row:
+            table[shift[a] + b] = a << ID_BITS | value
+    spare = np.flatnonzero(free)
+    used = 0
+    for a, b, value in sorted(singles, key=lambda x: x[1]):
+        while spare[used] < b:
+            used += 1
+        shift[a] = spare[used] - b
+        table[spare[used]] = a << ID_BITS | value
+        used += 1
+    last = int(np.flatnonzero(table >= 0)[-1]) if len(pairs) else 0
+    return shift, table[: last + 1]
 
 
 def bound(value: Column, use) -> Column:
@@ -93,103 +141,132 @@ class Vocabulary:
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    pairs[a << ID_BITS | b] = rank
-        table, self.half = cuckoo(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
+                    pairs[a, b] = rank
+        shift, table = rows_of(pairs, self.size)
+        # Any second id is a place in the table.
+        self.places = len(table) + self.size
+        single = [ranks[bytes([b])] for b in range(256)]
+        self.none = self.size << ID_BITS
+        first = [[pairs.get((a, b), self.size) << ID_BITS | a for b in single] for a in single]
+        literal = lambda x: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>")
+        # Parsing JSON is folded into a literal before a query runs.
+        self.shift, self.table = literal(shift.tolist()), literal([*table.tolist(), *[-1] * self.size])
+        self.bytes = literal([x for row in first for x in row])
+        self.last = literal([self.none | a for a in single])
         tokens = [b""] * self.size
         for token, rank in ranks.items():
             tokens[rank] = token
-        # Parsing JSON is folded into a literal before a query runs.
-        self.table = F.from_json(F.lit(json.dumps(table.tolist(), separators=(",", ":"))), "array<bigint>")
         self.tokens = F.from_json(F.lit(json.dumps([base64.b64encode(x).decode() for x in tokens], separators=(",", ":"))), "array<binary>")
-        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
-        odd = [(list(token), rank) for token, rank in ranks.items() if len(token) > 1 and merge(token, ranks) != [rank]]
-        self.odd = F.from_json(F.lit(json.dumps([{"b": b, "id": r} for b, r in odd])), "array<struct<b:array<bigint>,id:bigint>>") if odd else None
-
-    def rank(self, table: Column, a: Column, b: Column) -> Column:
-        """The id of the token that two tokens make; the vocabulary's size if they make none."""
-        key = a * (1 << ID_BITS) + b
-        first = F.element_at(table, (key * SEEDS[0] % self.half).cast("int") + 1)
-        second = F.element_at(table, (key * SEEDS[1] % (self.half + 2)).cast("int") + (1 + self.half))
-        value = lambda entry: entry.bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long"))
-        return F.when(F.shiftright(first, ID_BITS) == key, value(first)).when(F.shiftright(second, ID_BITS) == key, value(second)).otherwise(F.lit(self.size).cast("long"))
-
-    def encode(self, pieces: Column) -> Column:
-        """Token ids of each of the pieces, which are arrays of byte values."""
-        return bound(self.table, lambda table: bound(self.bytes, lambda single: F.transform(pieces, lambda piece: self._encode(piece, table, single))))
+
+    def encode(self, pieces: Column, given: Column) -> Column:
+        """Token ids of each of the pieces, which are arrays of byte values; where ids are given, these."""
+
+        def each(shift: Column, table: Column, pair: Column, last: Column) -> Column:
+            fold = lambda piece: self._encode(piece, shift, table, pair, last)
+            return F.zip_with(pieces, given, lambda piece, ids: F.when(F.size(piece) == 0, ids).otherwise(fold(piece)))
+
+        return bound(self.shift, lambda shift: bound(self.table, lambda table: bound(self.bytes, lambda pair: bound(self.last, lambda last: each(shift, table, pair, last)))))
 
     def decode(self, pieces: Column) -> Column:
         """The bytes of each of the pieces, which are arrays of token ids: the tokens' bytes, put together."""
-        return bound(self.tokens, lambda tokens: F.transform(pieces, lambda ids: F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.element_at(tokens, i + 1)))))
+        return bound(self.tokens, lambda tokens: F.transform(pieces, lambda ids: F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.get(tokens, i)))))
 
-    def _encode(self, piece: Column, table: Column, single: Column) -> Column:
-        """A piece that is a token is one; else merges decide."""
-        none = F.lit(self.size).cast("long")
+    def _encode(self, piece: Column, shift: Column, table: Column, pair: Column, last: Column) -> Column:
+        long = lambda x: F.lit(x).cast("long")
+        token = lambda x: x.bitwiseAND(long((1 << ID_BITS) - 1))
+        n = F.size(piece)
 
-        # p: tokens, with an id that makes no pair before the first and after the last; r[i]: rank of p[i] and p[i + 1].
-        def begin(p: Column) -> Column:
-            return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: self.rank(table, x, F.element_at(p, i + 2))).alias("r"))
+        def entry(a: Column, b: Column) -> Column:
+            """The rank of the pair of tokens a and b, and a."""
+            found = F.get(table, (F.get(shift, a) + b).cast("int"))
+            return bound(found, lambda x: F.when(F.shiftright(x, ID_BITS) == a, F.shiftleft(token(x), ID_BITS)).otherwise(long(self.none)).bitwiseOR(a))
 
         def step(state: Column, _: Column) -> Column:
-            def at_lowest(low: Column) -> Column:
-                p, r = state["p"], state["r"]
-                merged = bound(
-                    F.array_position(r, low).cast("int"),
-                    lambda at: F.struct(
-                        F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p))).alias("p"),
-                        F.concat(F.slice(r, F.lit(1), at - 2), F.array(self.rank(table, F.element_at(p, at - 1), low), self.rank(table, low, F.element_at(p, at + 2))), F.slice(r, at + 2, F.size(p))).alias("r"),
-                    ),
-                )
-                return F.when(low < none, merged).otherwise(state)
-
-            return bound(F.array_min(state["r"]), at_lowest)
-
-        ends = F.array(none)
-        first = F.concat(ends, F.transform(piece, lambda b: F.element_at(single, b.cast("int") + 1)), ends)
-        folded = F.aggregate(F.slice(piece, F.lit(2), F.size(piece)), bound(first, begin), step)
-        ids = bound(folded["p"], lambda p: F.slice(p, F.lit(2), F.size(p) - 2))
-        if self.odd is not None:
-            whole = F.filter(self.odd, lambda x: x["b"] == piece.cast("array<bigint>"))
-            ids = F.when(F.size(whole) > 0, F.transform(whole, lambda x: x["id"])).otherwise(ids)
-        return ids.cast("array<int>")
-
-
-def _cut(pattern: str):
+            def merged(low: Column) -> Column:
+                made = F.shiftright(low, ID_BITS)
+
+                def at_place(at: Column) -> Column:
+                    rest = F.size(state) - at - 1
+                    before = F.when(at > 1, F.concat(F.slice(state, F.lit(1), at - 2), F.array(entry(token(F.get(state, at - 2)), made)))).otherwise(F.array().cast("array<bigint>"))
+                    own = F.when(rest > 0, entry(made, token(F.get(state, at + 1)))).otherwise(made.bitwiseOR(long(self.none)))
+                    return F.concat(before, F.array(own), F.slice(state, at + 2, rest))
+
+                return F.when(low < long(self.none), bound(F.array_position(state, low).cast("int"), at_place)).otherwise(state)
+
+            return bound(F.array_min(state), merged)
+
+        begin = F.transform(piece, lambda b, i: F.when(i + 1 < n, F.get(pair, b.cast("int") * 256 + F.get(piece, i + 1))).otherwise(F.get(last, b)))
+        folded = F.aggregate(F.slice(piece, F.lit(2), n), begin, step)
+        return F.transform(folded, lambda x: token(x).cast("int"))
+
+
+def packed(new: list[bytes | list[int]]) -> tuple[pa.Array, pa.Array, list[int]]:
+    """New pieces, as arrays of byte values, some to a row; of those whose ids are known, these."""
+    data = [x if isinstance(x, bytes) else b"" for x in new]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    values = np.frombuffer(b"".join(data), np.uint8).astype(np.int16)
+    weight = np.cumsum([4 + len(x) for x in new])
+    cuts = np.unique(np.append(np.searchsorted(weight, np.arange(0, weight[-1], ROW_BYTES)), len(data)))
+    pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+    ids = [x if isinstance(x, list) else [] for x in new]
+    given = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array([i for x in ids for i in x], pa.int32()))
+    ends = pa.array(cuts, pa.int32())
+    return pa.ListArray.from_arrays(ends, pieces), pa.ListArray.from_arrays(ends, given), cuts.tolist()
+
+
+def _cut(pattern: str, ranks, common):
     """Batches of rows with pieces that are new to the task, each before the rows with the texts they are of."""
+    names = ["row", "pieces", "given", "numbers", "anew"]
+    listed = pa.list_(pa.list_(pa.int16())), pa.list_(pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, schema = regex.compile(pattern), {}, None
-
-        def rows(new: list[str]) -> Iterator[pa.RecordBatch]:
-            """New pieces, as arrays of byte values, some to a row."""
-            data = [x.encode() for x in new]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])])
-            values = np.frombuffer(b"".join(data), np.uint8).astype(np.int16)
-            cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, offsets[-1], ROW_BYTES)), len(data)))
-            pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pieces)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(lists), schema.field(0).type), lists, pa.nulls(len(lists), pa.list_(pa.int32())), pa.array([False] * len(lists))], names=["row", "pieces", "numbers", "anew"])
-
-        def flush(at: pa.Array, numbers: list[list[int]], new: list[str], anew: bool) -> Iterator[pa.RecordBatch]:
+        find, known, schema, often = regex.compile(pattern), {}, None, common.value
+
+        def rows(new: list[bytes | list[int]]) -> Iterator[pa.RecordBatch]:
+            pieces, given, _ = packed(new)
+            n = len(pieces)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, schema.field(0).type), pieces, given, pa.nulls(n, pa.list_(pa.int32())), pa.array([False] * n)], names=names)
+
+        def flush(at: pa.Array, numbers: list[list[int]], new: list, anew: bool) -> Iterator[pa.RecordBatch]:
+            empty = lambda n: [pa.nulls(n, t) for t in listed]
             if anew:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, schema.field(0).type), pa.nulls(1, pa.list_(pa.list_(pa.int16()))), pa.nulls(1, pa.list_(pa.int32())), pa.array([True])], names=["row", "pieces", "numbers", "anew"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, schema.field(0).type), *empty(1), pa.nulls(1, pa.list_(pa.int32())), pa.array([True])], names=names)
             if new:
                 yield from rows(new)
-            yield pa.RecordBatch.from_arrays([at, pa.nulls(len(at), pa.list_(pa.list_(pa.int16()))), pa.array(numbers, pa.list_(pa.int32())), pa.array([False] * len(at))], names=["row", "pieces", "numbers", "anew"])
-
+            yield pa.RecordBatch.from_arrays([at, *empty(len(at)), pa.array(numbers, pa.list_(pa.int32())), pa.array([False] * len(at))], names=names)
+
+        def add(piece: str) -> list[int]:
+            """Numbers of a piece that is new; a long one is several."""
+            data = piece.encode()
+            if data in ranks.value:
+                parts = [[ranks.value[data]]]
+            elif len(data) <= LONG:
+                parts = [data]
+            else:
+                ids = merge(data, ranks.value)
+                parts = [ids[i : i + RUN] for i in range(0, len(ids), RUN)]
+            begin = used[0]
+            new.extend(parts)
+            used[0] += len(parts)
+            return list(range(begin, used[0]))
+
+        used = [len(often)]
         for batch in batches:
             schema = batch.schema
             texts, begin, size, numbers, new, anew = batch.column("text"), 0, 0, [], [], False
             for i in range(len(texts)):
                 text = texts[i].as_py() or ""
                 if len(known) > KNOWN and not numbers:
-                    known, anew = {}, True
+                    known, anew, used[0] = {}, True, len(often)
                 line = []
                 for x in find.findall(text):
-                    n = known.get(x)
+                    n = often.get(x)
                     if n is None:
-                        n = known[x] = len(known)
-                        new.append(x)
-                    line.append(n)
+                        n = known.get(x)
+                    if n is None:
+                        n = add(x)
+                        n = known[x] = n[0] if len(n) == 1 else n
+                    line.append(n) if type(n) is int else line.extend(n)
                 numbers.append(line)
                 size += len(text)
                 if size >= TEXT_BYTES or len(known) > KNOWN or i + 1 == len(texts):
@@ -201,15 +278,17 @@ def _cut(pattern: str):
 
 def gather(values: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ranges offsets[c] to offsets[c + 1] of values, one after another, and how long each is."""
-    many = (offsets[1:] - offsets[:-1])[chosen]
-    at = np.arange(int(many.sum())) + np.repeat(offsets[:-1][chosen] - (np.cumsum(many) - many), many)
+    first = offsets[chosen]
+    many = offsets[chosen + 1] - first
+    step = np.int32 if len(values) + int(many.sum()) < 2**31 else np.int64
+    at = np.arange(int(many.sum()), dtype=step) + np.repeat((first - (np.cumsum(many) - many)).astype(step), many)
     return values[at], many
 
 
-def _string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _string(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
     """Texts as the ids and the bytes of their pieces."""
     parts: dict[str, list] = {"ids": [], "bytes": []}
-    held: dict[str, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros(0, np.int32), np.zeros(1, np.int64)) for k in parts}
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = dict(common.value)
 
     def settle() -> None:
         for name, new in parts.items():
@@ -223,8 +302,9 @@ def _string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for i in range(batch.num_rows):
             if anew[i].as_py():
-                for name in parts:
-                    parts[name], held[name] = [], (np.zeros(0, np.int32), np.zeros(1, np.int64))
+                held = dict(common.value)
+                for new in parts.values():
+                    new.clear()
             elif numbers[i].is_valid:
                 texts.append(i)
                 last = i + 1 == batch.num_rows or not numbers[i + 1].is_valid
@@ -253,27 +333,74 @@ def _texts(row: pa.Array, numbers: pa.Array, held: dict) -> pa.RecordBatch:
     for name, (values, offsets) in held.items():
         got, many = gather(values, offsets, flat)
         out[name] = got, np.concatenate([[0], np.cumsum(many)])[ends].astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(out["ids"][1]), pa.array(out["ids"][0].astype(np.int32)))
-    decoded = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(out["bytes"][1].tobytes()), pa.py_buffer(out["bytes"][0].astype(np.uint8).tobytes())])
+    ids = pa.ListArray.from_arrays(pa.array(out["ids"][1]), pa.array(out["ids"][0]))
+    decoded = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(out["bytes"][1].tobytes()), pa.py_buffer(np.ascontiguousarray(out["bytes"][0]))])
     return pa.RecordBatch.from_arrays([row, ids, decoded], names=["row", "ids", "decoded"])
 
 
-def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: list[str] | None = None, task_bytes: int = 160 << 20) -> DataFrame:
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Token ids of texts, and the bytes that these ids decode to.
 
     Returns, for each row of docs, `row` (a struct of the kept columns, all by default), ids and decoded. Null
-    and empty texts have no ids and decode to no bytes. Special tokens are ordinary text. Tasks are merged until
-    each has about task_bytes of text (but not below the cluster's cores), as a task encodes a piece once.
+    and empty texts have no ids and decode to no bytes. Special tokens are ordinary text. Texts and pieces can
+    have any length; an empty table gives an empty one. Each task of the scan folds its own distinct pieces.
     """
     vocabulary, spark = Vocabulary(ranks), docs.sparkSession
     keep = docs.columns if keep is None else keep
-    tasks = max(spark.sparkContext.defaultParallelism, -(-text_bytes(docs, text_col) // task_bytes))
     held = F.struct(*[docs[c].alias(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
-    packed = docs.select(held.alias("row"), docs[text_col].cast("string").alias("text")).coalesce(tasks)
+    packed = docs.select(held.alias("row"), docs[text_col].cast("string").alias("text"))
     row = StructField("row", packed.schema["row"].dataType, True)  # rows with pieces have none
-    cut = packed.mapInArrow(_cut(pattern), StructType([row, *StructType.fromDDL("pieces array<array<short>>, numbers array<int>, anew boolean").fields]))
-    ids = cut.withColumn("ids", vocabulary.encode(F.col("pieces"))).withColumn("decoded", vocabulary.decode(F.col("ids")))
-    return ids.select("row", "numbers", "anew", "ids", "decoded").mapInArrow(_string, StructType([row, *StructType.fromDDL("ids array<int>, decoded binary").fields]))
+    # Bounded: a vocabulary of at most 2**18 tokens, and COMMON pieces of at most LONG bytes.
+    shared = spark.sparkContext.broadcast(ranks)
+    names, values = _common(packed, pattern, vocabulary, shared)
+    often, strings = spark.sparkContext.broadcast(names), spark.sparkContext.broadcast(values)
+    cut = packed.mapInArrow(_cut(pattern, shared, often), StructType([row, *StructType.fromDDL("pieces array<array<short>>, given array<array<int>>, numbers array<int>, anew boolean").fields]))
+    ids = cut.withColumn("ids", vocabulary.encode(F.col("pieces"), F.col("given"))).withColumn("decoded", vocabulary.decode(F.col("ids")))
+    return ids.select("row", "numbers", "anew", "ids", "decoded").mapInArrow(lambda batches: _string(batches, strings), StructType([row, *StructType.fromDDL("ids array<int>, decoded binary").fields]))
+
+
+def _common(texts: DataFrame, pattern: str, vocabulary: Vocabulary, ranks) -> tuple[dict[str, int], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Numbers of the most frequent pieces of a sample, and the ids and bytes that the fold makes of them, one after another.
+
+    The sample: whole texts, by their hash, about SAMPLE_BYTES in all.
+    """
+    every = max(1, text_bytes(texts, "text") // SAMPLE_BYTES)
+    chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, counts = regex.compile(pattern), Counter()
+
+        def told() -> pa.RecordBatch:
+            new = [(x, n) for x, n in counts.items() if len(x) <= LONG // 4 and x.encode() not in ranks.value]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.string()), pa.array([n for _, n in new], pa.int64())], names=["piece", "n"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                counts.update(find.findall(text.as_py() or ""))
+                if len(counts) > KNOWN:
+                    yield told()
+        yield told()
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                pieces, given, cuts = packed([x.encode() for x in batch.column("piece").to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), batch.column("piece")), pieces, given], names=["names", "pieces", "given"])
+
+    best = chosen.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "piece").limit(COMMON)
+    best = written(best.select("piece"), "pieces").repartition(max(8, texts.sparkSession.sparkContext.defaultParallelism), "piece")
+    spelt = best.mapInArrow(spell, "names array<string>, pieces array<array<short>>, given array<array<int>>")
+    ids = spelt.select("names", vocabulary.encode(F.col("pieces"), F.col("given")).alias("ids"))
+    found = ids.select("names", "ids", vocabulary.decode(F.col("ids")).alias("decoded")).toArrow()
+    names = found["names"].combine_chunks().flatten().to_pylist()
+    lists, blobs = found["ids"].combine_chunks().flatten(), found["decoded"].combine_chunks().flatten()
+    starts = lambda lengths: np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    sizes = pc.binary_length(blobs).to_numpy(zero_copy_only=False)
+    return {x: i for i, x in enumerate(names)}, {
+        "ids": (lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), starts(lists.value_lengths().to_numpy(zero_copy_only=False))),
+        "bytes": (np.frombuffer(b"".join(blobs.to_pylist()), np.uint8), starts(sizes)),
+    }
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:

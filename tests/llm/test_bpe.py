@@ -33,6 +33,22 @@ def test_against_tiktoken(spark, ranks, monkeypatch):
             assert bytes(rows[i].decoded) == (t or "").encode()
 
 
+def test_very_long_pieces(spark, ranks):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("etaoinshr") for _ in range(100_000)), "ab" * 5000 + " short", "é" * 1000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    enc = coder(ranks)
+    for r in bpe.encode_and_decode(docs, ranks, P.PATTERN).collect():
+        assert r.ids == enc.encode_ordinary(texts[r.row.doc_id]) and bytes(r.decoded).decode() == texts[r.row.doc_id]
+
+
+def test_merge_is_the_fold(ranks):
+    rng, enc = random.Random(6), coder(ranks)
+    for _ in range(300):
+        word = "".join(rng.choice("abcdeioné") for _ in range(rng.randrange(2, 40)))
+        assert bpe.merge(word.encode(), ranks) == enc._encode_single_piece(word) or word.encode() in ranks
+
+
 def test_tokens_that_merges_do_not_make(spark):
     ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256}
     docs = spark.createDataFrame([(1, "abc abcd")], "doc_id long, text string").limit(1)
