@@ -15,9 +15,10 @@ def brute(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("radius", [0, 3])
-def test_against_brute_force(spark, monkeypatch, radius):
-    monkeypatch.setattr(topk, "RADIUS", radius)
+@pytest.mark.parametrize(("block", "several", "sample"), [(1 << 17, 1 << 16, 1 << 13), (40, 3, 20)])
+def test_against_brute_force(spark, monkeypatch, block, several, sample):
+    for name, value in (("BLOCK", block), ("PASS", several), ("SAMPLE", sample)):
+        monkeypatch.setattr(topk, name, value)
     rng = random.Random(6)
     base = [rng.getrandbits(64) - 2**63 for _ in range(6)]
     rows = [(i, rng.choice(base) ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63))) for i in range(120)] + [(i, 77) for i in range(200, 260)] + [(None, 5), (300, None), (301, -1), (200, 77)]
@@ -26,3 +27,10 @@ def test_against_brute_force(spark, monkeypatch, radius):
     assert got == brute(rows, 5, 20)
     assert topk.search(frame.limit(0)).collect() == []
     assert sorted(tuple(r) for r in topk.search(frame.where("vec_id in (0, 1, 2)"), k=5).collect()) == brute(rows[:3], 5, 100)
+
+
+def test_random_codes(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.getrandbits(64) - 2**63) for i in range(3000)]
+    got = sorted(tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, code long"), k=7).collect())
+    assert got == brute(rows, 7, 100)
