@@ -6,8 +6,8 @@ bytes at the end of the current position is looked up in the shift table and the
 shift; at shift 0 the block's hash picks a bucket of test strings, whose first bytes are compared, and then
 all of them. Test strings are grouped by length, as the shortest bounds the shifts.
 
-A benchmark beyond BLOCK_BYTES is searched for in parts of at most that size, one pass over the texts each,
-so what executors hold stays bounded however large it grows.
+A benchmark beyond BLOCK_BYTES is searched for in parts of about that size, one pass over the texts each, with a
+written table between passes: what a stage broadcasts and holds stays bounded however large the benchmark grows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from plumbline.llm._spark import Tables
 from plumbline.llm._text import ALNUM, Words, covered, runs, slices
 
 BLOCK_BYTES = 8 << 20
@@ -96,7 +97,17 @@ class Patterns:
 
 
 class Searcher:
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+    def __init__(self, groups: list[tuple[dict, list[int], list[set]]]):
+        """groups: the fields of Patterns, the words of each string, and the items that hold it."""
+        self.groups = []
+        for fields, sizes, who in groups:
+            patterns = Patterns.__new__(Patterns)
+            patterns.__dict__.update(fields)
+            self.groups.append((patterns, sizes, who))
+
+    @staticmethod
+    def groups_of(items: list[tuple[str | None, str | None]], window: int) -> list[tuple[dict, list[int], list[set]]]:
+        """As plain data, which executors can read that don't know this package's classes."""
         words = Words(pa.array([t for _, t in items], pa.string()), ALNUM, lower=True)
         owners: dict[bytes, set] = {}
         raw = words.data.tobytes()
@@ -105,10 +116,11 @@ class Searcher:
             w = [raw[s:e] for s, e in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)]
             for j in range(max(1, len(w) - window + 1) if w else 0):
                 owners.setdefault(b" " + b" ".join(w[j : j + window]) + b" ", set()).add(item)
-        self.groups = []
+        groups = []
         for low, high in zip(LENGTHS, (*LENGTHS[1:], math.inf), strict=True):
             if strings := sorted(s for s in owners if low <= len(s) < high):
-                self.groups.append((Patterns(strings), [s.count(b" ") - 1 for s in strings], [owners[s] - {None} for s in strings]))
+                groups.append((vars(Patterns(strings)), [s.count(b" ") - 1 for s in strings], [owners[s] - {None} for s in strings]))
+        return groups
 
     def __call__(self, column: pa.Array, before: tuple[list, list] | None = None) -> list[pa.Array]:
         """Word counts, runs of hit words and items of each text, with those that earlier passes found."""
@@ -158,21 +170,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     held = F.struct(*[docs[c].alias(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     found = docs.select(held.alias("row"), docs[text_col].cast("string").alias("text"))
     row = found.schema["row"]
+    tables = Tables(docs.sparkSession, "decontamination")
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else items
-        searcher = docs.sparkSession.sparkContext.broadcast(Searcher([tuple(r) for r in some.collect()], window))
+        searcher = docs.sparkSession.sparkContext.broadcast(Searcher.groups_of([tuple(r) for r in some.collect()], window))
         last = part == parts - 1
         schema = StructType([row, *([] if last else [StructField("text", StringType())]), *StructType.fromDDL(HITS).fields])
         found = found.mapInArrow(_pass(searcher, part == 0, schema.names), schema)
+        found = found if last else tables.put(found, "pass")
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def _pass(searcher, first: bool, names: list[str]):
     def run(batches):
+        search = Searcher(searcher.value)
         for batch in batches:
             before = None if first else (batch.column("hits").to_pylist(), batch.column("items").to_pylist())
-            made = dict(zip(("n_words", "hits", "items"), searcher.value(batch.column("text"), before), strict=True))
+            made = dict(zip(("n_words", "hits", "items"), search(batch.column("text"), before), strict=True))
             yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names=names)
 
     return run

@@ -194,11 +194,14 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
     """`row` (a struct of the kept columns, all by default), score (0 to 1) and predicted (0 or 1) of each row.
 
     The field learns from the labels alone that training_rows() picks; scores depend on texts only. Null and
-    empty texts have no line and count as half good. Labels of one class alone make a constant score. Nothing
-    else is read, so other columns can have any names.
+    empty texts have no line and count as half good. Labels of one class alone make a constant score. Rows that
+    share an id are scored each by its text. Nothing else is read, so other columns can have any names; an empty
+    table gives an empty one.
     """
-    field = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, label, train_each, id_col, text_col)))
-    found = annotate(docs, text_col, docs.columns if keep is None else keep, lambda texts: [pa.array(field.value.scores(texts), pa.float64())], "score double")
+    fitted = fit(training_rows(docs, labels, label, train_each, id_col, text_col))
+    # Some dozens of numbers: executors need not know this package's classes to read them.
+    field = docs.sparkSession.sparkContext.broadcast((fitted.emission, fitted.change, fitted.start, fitted.curve))
+    found = annotate(docs, text_col, docs.columns if keep is None else keep, lambda texts: [pa.array(Field(*field.value).scores(texts), pa.float64())], "score double")
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

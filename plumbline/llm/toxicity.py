@@ -1,10 +1,12 @@
 """Toxicity: a bag of subword embeddings, averaged, under a linear softmax.
 
 A text's subwords are its words and their character 3- to 6-grams with the word's ends marked, hashed into
-buckets. A bucket has an embedding; the mean embedding of a text goes through a linear softmax layer. Both
+buckets. A bucket that the classes of the training texts hold at different rates, beyond chance, has an embedding;
+a text is the average of the embeddings of its distinct subwords and goes through a linear softmax layer. (The
+average divides by the square root of their number, so that many telling subwords count for more than one.) Both
 are trained together, by Adam in numpy on the driver, on a bounded number of labelled rows. A misspelling that
-never occurred shares n-grams with the words that did. As averaging and the layer are linear, scoring looks up
-one number for each bucket: the difference of the two classes' logits that its embedding makes.
+never occurred shares n-grams with the words that did. As averaging and the layer are linear, scoring looks up one
+number for each bucket: the difference of the two classes' logits that its embedding makes.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ SLICE = 1 << 20
 TRAIN_EACH = 1500
 #: Weight of class 1 in training: clean texts that are called toxic cost more than toxic ones that pass.
 TOXIC_SHARE = 0.4
-#: Added to Adam's divisor: gradients much below it move little, so that rare subwords aren't learnt by heart.
-FLOOR = 1e-3
+#: A bucket counts where its share of texts differs between the classes by so many standard errors.
+ERRORS = 4.0
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,7 +42,9 @@ def pieces(text: str):
     while at < len(text):
         end = at + SLICE
         cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end)) + 1 if end < len(text) else len(text)
-        cut = cut if cut > at else min(end, len(text))
+        if cut <= at:  # one word that is longer
+            after = [x for x in (text.find(" ", end), text.find("\n", end)) if x >= 0]
+            cut = min(after) + 1 if after else len(text)
         yield pa.array([text[at:cut]])
         at = cut
 
@@ -99,43 +103,35 @@ def subwords(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """logit = offset + mean over subwords of weights[bucket]: of class 1 against class 0."""
+    """logit = offset + sum of weights of a text's distinct known buckets / sqrt(1 + their number): of class 1 against class 0.
 
+    known: the numbers of the buckets that have an embedding, sorted.
+    """
+
+    known: np.ndarray
     weights: np.ndarray
     offset: float
 
     def scores(self, column: pa.Array) -> np.ndarray:
         total, count = np.zeros(len(column)), np.zeros(len(column))
-        for lo, hi in slices(column, SLICE):
-            for part in [column.slice(lo, hi - lo)] if hi - lo > 1 else pieces(column[lo].as_py() or ""):
-                bucket, owner = subwords(part)
-                total[lo:hi] += np.bincount(owner, self.weights[bucket], minlength=hi - lo)
-                count[lo:hi] += np.bincount(owner, minlength=hi - lo)
-        logit = np.where(count > 0, self.offset + total / np.maximum(count, 1), min(self.offset, -1.0))
-        return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
-
-
-class Bags:
-    """Texts as rows of a sparse matrix: the share of each bucket among a text's subwords."""
-
-    def __init__(self, texts: list[str]):
-        column, parts = pa.array(texts, pa.string()), []
-        for lo, hi in slices(column, SLICE // 4):
-            bucket, owner = subwords(column.slice(lo, hi - lo))
-            key, count = np.unique((owner.astype(np.int64)) << BITS | bucket, return_counts=True)
-            doc = (key >> BITS).astype(np.int32)
-            share = count / np.bincount(doc, count, minlength=hi - lo)[doc]
-            parts.append((doc + np.int32(lo), (key & ((1 << BITS) - 1)).astype(np.int32), share.astype(np.float32)))
-        self.n = len(texts)
-        self.doc, self.bucket, self.share = (np.concatenate(x) for x in zip(*parts, strict=True))
-
-    def rows(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row numbers, bucket numbers and shares, by row; of buckets that are not known, nothing."""
         number = np.full(1 << BITS, -1, np.int32)
-        number[known] = np.arange(len(known), dtype=np.int32)
-        at = number[self.bucket]
-        keep = at >= 0
-        return self.doc[keep], at[keep], self.share[keep]
+        number[self.known] = np.arange(len(self.known), dtype=np.int32)
+        for lo, hi in slices(column, SLICE):
+            owner, at = held(column.slice(lo, hi - lo), number)
+            total[lo:hi] = np.bincount(owner, self.weights[at], minlength=hi - lo)
+            count[lo:hi] = np.bincount(owner, minlength=hi - lo)
+        return 1 / (1 + np.exp(-np.clip(self.offset + total / np.sqrt(1 + count), -60, 60)))
+
+
+def held(column: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and number of every distinct known subword of some texts, by text. A column of one text can be of any length."""
+    keys = []
+    for part in [column] if len(column) > 1 else pieces(column[0].as_py() or ""):
+        bucket, owner = subwords(part)
+        at = number[bucket]
+        keys.append(np.unique(owner[at >= 0].astype(np.int64) << BITS | at[at >= 0]))
+    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    return key >> BITS, key & ((1 << BITS) - 1)
 
 
 def spread(values: np.ndarray, into: np.ndarray, size: int) -> np.ndarray:
@@ -147,77 +143,73 @@ def spread(values: np.ndarray, into: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def fit(rows: list[tuple[str, int]], width: int = 4, epochs: int = 10, batch: int = 64, rate: float = 0.02, floor: float = FLOOR, least: int = 2, seed: int = 7) -> Model:
+def fit(rows: list[tuple[str, int]], width: int = 8, epochs: int = 30, batch: int = 64, rate: float = 0.02, decay: float = 1e-3, errors: float = ERRORS, seed: int = 7) -> Model:
     """Train embeddings and softmax layer together by Adam on small batches; class 1 weighs TOXIC_SHARE of all.
 
-    Buckets that fewer than `least` texts, or one in 200, hold keep no embedding. An eighth of the rows is set
-    aside; the epoch after which its loss was least gives the model. With fewer than two classes the model gives
-    every text the share of class 1 (0 without rows).
+    With fewer than two classes the model gives every text the share of class 1 (0 without rows). Without a bucket
+    that tells the classes apart the layer's offset alone scores.
     """
     labels = np.array([y for _, y in rows], np.int64)
     size = 1 << BITS
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(size), 30.0 if labels.any() else -30.0)
+        return Model(np.zeros(0, np.int64), np.zeros(0), 30.0 if labels.any() else -30.0)
     rng = np.random.default_rng(seed)
-    bags = Bags([t for t, _ in rows])
-    aside = np.zeros(len(rows), bool)
-    for c in (0, 1):
-        members = rng.permutation(np.flatnonzero(labels == c))
-        aside[members[: len(members) // 8]] = True
-    held = np.bincount(bags.bucket[~aside[bags.doc]], minlength=size)
-    known = np.flatnonzero(held >= max(least, len(rows) // 200))
-    known = known if len(known) else np.arange(1)
-    doc, bucket, share = bags.rows(known)
-    del bags
+    column, every, parts = pa.array([t for t, _ in rows], pa.string()), np.arange(size, dtype=np.int32), []
+    for lo, hi in slices(column, SLICE // 4):
+        owner, bucket = held(column.slice(lo, hi - lo), every)
+        parts.append((owner.astype(np.int32) + np.int32(lo), bucket.astype(np.int32)))
+    doc, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    many = np.bincount(labels, minlength=2)
+    of_toxic = np.bincount(bucket[labels[doc] == 1], minlength=size)
+    of_all = np.bincount(bucket, minlength=size)
+    rate_all = (of_all + 0.5) / (len(rows) + 1)
+    apart = (of_toxic / many[1] - (of_all - of_toxic) / many[0]) / np.sqrt(rate_all * (1 - rate_all) * (1 / many).sum())
+    known = np.flatnonzero((np.abs(apart) >= errors) & (of_all > 1))
+    number = np.full(size, -1, np.int32)
+    number[known] = np.arange(len(known), dtype=np.int32)
+    keep = number[bucket] >= 0
+    doc, bucket = doc[keep], number[bucket[keep]]
+    share = (1 / np.sqrt(1 + np.bincount(doc, minlength=len(rows))))[doc].astype(np.float32)
     first = np.searchsorted(doc, np.arange(len(rows) + 1, dtype=np.int32))
-    weight = (len(rows) * np.array([1 - TOXIC_SHARE, TOXIC_SHARE]) / np.bincount(labels, minlength=2))[labels].astype(np.float32)
+    weight = (len(rows) * np.array([1 - TOXIC_SHARE, TOXIC_SHARE]) / many)[labels].astype(np.float32)
     p = {"E": rng.normal(0, 0.01, (len(known), width)).astype(np.float32), "W": rng.normal(0, 1, (width, 2)).astype(np.float32), "b": np.zeros(2, np.float32)}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    scale = np.float32(100)  # of the layer's input: a telling subword is a small share of a text
-
-    def forward(chosen: np.ndarray):
-        many = np.diff(first)[chosen]
-        row = np.repeat(np.arange(len(chosen)), many)
-        at = np.arange(len(row)) + np.repeat(first[chosen] - (np.cumsum(many) - many), many)
-        mean = spread(p["E"][bucket[at]] * share[at, None], row, len(chosen)) * scale
-        logits = mean @ p["W"] + p["b"]
-        probability = np.exp(logits - logits.max(1, keepdims=True))
-        probability /= probability.sum(1, keepdims=True)
-        return row, at, mean, probability
-
-    best, t, train, test = (np.inf, None), 0, np.flatnonzero(~aside), np.flatnonzero(aside)
+    t = 0
     for _ in range(epochs):
-        order = rng.permutation(train)
+        order = rng.permutation(len(rows))
         for k in range(0, len(order), batch):
             chosen, t = order[k : k + batch], t + 1
-            row, at, mean, error = forward(chosen)
+            held_by = np.diff(first)[chosen]
+            row = np.repeat(np.arange(len(chosen)), held_by)
+            at = np.arange(len(row)) + np.repeat(first[chosen] - (np.cumsum(held_by) - held_by), held_by)
+            mean = spread(p["E"][bucket[at]] * share[at, None], row, len(chosen))
+            logits = mean @ p["W"] + p["b"]
+            error = np.exp(logits - logits.max(1, keepdims=True))
+            error /= error.sum(1, keepdims=True)
             error[np.arange(len(chosen)), labels[chosen]] -= 1
             error *= weight[chosen, None] / len(chosen)
-            back = (error @ p["W"].T)[row] * (share[at, None] * scale)
-            grad = {"W": mean.T @ error, "b": error.sum(0), "E": np.stack([np.bincount(bucket[at], back[:, i], minlength=len(known)) for i in range(width)], 1).astype(np.float32)}
+            back = (error @ p["W"].T)[row] * share[at, None]
+            grad = {"W": mean.T @ error + decay * p["W"], "b": error.sum(0), "E": np.stack([np.bincount(bucket[at], back[:, i], minlength=len(known)) for i in range(width)], 1).astype(np.float32) + decay * p["E"]}
             for n, g in grad.items():
                 m[n] += 0.1 * (g - m[n])
                 v[n] += 0.01 * (g * g - v[n])
-                p[n] = p[n] - rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + floor)
-        probability = forward(test)[3][np.arange(len(test)), labels[test]] if len(test) else np.ones(1)
-        loss = float(-(weight[test] * np.log(probability + 1e-9)).mean()) if len(test) else -t
-        if loss < best[0]:
-            best = (loss, {k: x.copy() for k, x in p.items()})
-    p = best[1]
-    weights = np.zeros(size)
-    weights[known] = p["E"].astype(float) @ (p["W"][:, 1] - p["W"][:, 0]).astype(float) * float(scale)
-    return Model(weights, float(p["b"][1] - p["b"][0]))
+                p[n] = p[n] - rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-4)
+    return Model(known, p["E"].astype(float) @ (p["W"][:, 1] - p["W"][:, 0]).astype(float), float(p["b"][1] - p["b"][0]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label: str = "toxic", keep: list[str] | None = None, train_each: int = TRAIN_EACH, threshold: float = 0.5) -> DataFrame:
     """`row` (a struct of the kept columns, all by default), score (0 to 1) and predicted (0 or 1) of each row.
 
-    The model learns from the labels alone that training_rows() picks; scores depend on texts only. Null and
-    empty texts, and those without a word, count as clean: the layer's offset, -1 at most, gives their score. Labels of one class
-    alone make a constant score. Nothing else is read, so other columns can have any names.
+    The model learns from the labels alone that training_rows() picks; scores depend on texts only, on whole ones.
+    Null and empty texts, and all others without a known subword, score what the layer's offset gives. Labels of
+    one class alone make a constant score. Rows that share an id are scored each by its text. Nothing else is read,
+    so other columns can have any names; an empty table gives an empty one.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, label, train_each, id_col, text_col)))
-    found = annotate(docs, text_col, docs.columns if keep is None else keep, lambda texts: [pa.array(model.value.scores(texts), pa.float64())], "score double")
+    fitted = fit(training_rows(docs, labels, label, train_each, id_col, text_col))
+    # Arrays, of at most 2**18 entries: executors need not know this package's classes to read them.
+    model = docs.sparkSession.sparkContext.broadcast((fitted.known, fitted.weights, fitted.offset))
+    found = annotate(docs, text_col, docs.columns if keep is None else keep, lambda texts: [pa.array(Model(*model.value).scores(texts), pa.float64())], "score double")
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
