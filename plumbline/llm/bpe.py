@@ -34,16 +34,16 @@ from pyspark.sql.types import StructField, StructType
 from plumbline.llm._spark import text_bytes, written
 
 #: Texts that wait for their pieces, at most (a longer text waits alone), and bytes of pieces in a row.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 ROW_BYTES = 16 << 10
 #: A task forgets its pieces beyond so many, and sends them anew.
-KNOWN = 1 << 20
+KNOWN = 1 << 18
 ID_BITS = 18
 LONG = 256
 #: Tokens of a long piece that travel as one.
 RUN = 1024
 #: Pieces that are common in a sample of about so many bytes of text are folded once, for all tasks; so many at most.
-SAMPLE_BYTES, COMMON = 96 << 20, 1 << 19
+SAMPLE_BYTES, COMMON = 64 << 20, 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

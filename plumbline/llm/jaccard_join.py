@@ -37,6 +37,8 @@ U = np.uint64
 SKETCH = 1 << 18
 CHUNK_BYTES = 2 << 20
 BUCKET_ENTRIES = 1 << 20
+#: Sets that are compared in one task, by their size.
+BLOCK_BYTES = 32 << 20
 #: Entries of a signature that are all paired at once in the first round; the limit grows from round to round.
 SMALL, GROWTH = 16, 8
 #: Entries of a signature beyond which it is dealt over several buckets, and how many sets go to each of these.
@@ -422,15 +424,22 @@ class Join:
             sets = self._arrays(need, "arrays")
         else:
             sets = waiting.select("node", "tokens")
-        x, y = (sets.select(F.col("node").alias(e), F.col("tokens").alias(c)) for e, c in (("a", "x"), ("b", "y")))
-
-        def link(batches):
-            for batch in batches:
-                x, y = (unblob(batch.column(c)) for c in ("x", "y"))
-                keep = pa.array([i for i in range(len(x)) if similar(x[i], y[i])], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
-
-        linked = self.tables.put(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(link, "a long, b long").distinct(), "verified")
+        # Nodes are dealt into sides, and a pair goes to the block of its two sides, with the sets that the block's
+        # pairs are of: a set travels once for each block and not once for each pair.
+        size = sets.agg(F.sum(F.octet_length("tokens").cast("long"))).first()[0] or 0
+        sides = max(6, math.ceil(2 * size / BLOCK_BYTES))
+        side = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
+        dealt_pairs = pairs.withColumn("block", side("a") * sides + side("b"))
+        ends = dealt_pairs.select("block", F.col("a").alias("node")).union(dealt_pairs.select("block", "b")).distinct()
+
+        def link(some: pa.Table, told: pa.Table) -> pa.Table:
+            known = dict(zip(told["node"].to_pylist(), unblob(told["tokens"]), strict=True)) if told.num_rows else {}
+            rows = zip(some["a"].to_pylist(), some["b"].to_pylist(), strict=True)
+            linked = np.array([x for x in rows if similar(known[x[0]], known[x[1]])], np.int64).reshape(-1, 2)
+            return pa.table({"a": linked[:, 0], "b": linked[:, 1]})
+
+        told = ends.join(sets, "node").select(F.col("block").alias("of"), "node", "tokens")
+        linked = self.tables.put(dealt_pairs.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(link, "a long, b long"), "verified")
         self.tables.drop("arrays", "near", "need")
         return linked
 
