@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.catalog import query
 from plumbline.operators import text as T
 from plumbline.operators.predict import rounded
 
-NORM = "trim(regexp_replace(lower(regexp_replace({0}, '-(LRB|RRB|LSB|RSB|LCB|RCB)-', ' ', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+NORM = "trim(regexp_replace(lower(regexp_replace({0}, '-(LRB|RRB|LSB|RSB|LCB|RCB|COLON)-', ' ', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 N = NORM.format("text")
 UNIT = "(('0x' || substr(sha256({0}), 1, 13))::BIGINT / 4503599627370496.0)"
 
@@ -40,7 +40,10 @@ def fit_split(spark, d):
     return table(spark, d, "documents").groupBy(F.when(u < 0.7, "train").when(u < 0.85, "validation").otherwise("test").alias("split")).agg(F.count("*").alias("n"))
 
 
-SEG = "SELECT DISTINCT {k}, substr(sha256(n), 1, 24) AS segment FROM (SELECT {k}, " + NORM.format("line") + " AS n FROM (SELECT {k}, unnest(string_split(text, chr(10))) AS line FROM {t})) WHERE length(n) >= 60"
+SEG = (
+    "SELECT DISTINCT {k}, substr(sha256(n), 1, 24) AS segment FROM (SELECT {k}, " + NORM.format("line") + " AS n FROM (SELECT {k}, unnest([part, regexp_extract(part, '(?s)^[^:.!?]{{1,100}}:\\s+(.+)', 1)]) AS line "
+    "FROM (SELECT {k}, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS part FROM {t}))) WHERE length(n) >= 60"
+)
 
 
 @query("segments", SEG.format(k="doc_id", t="documents"))
@@ -69,12 +72,15 @@ def contam_segment(spark, d):
 POST = "SELECT DISTINCT {k}, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {k}, string_split(" + N + ", ' ') AS w FROM {t}) WHERE len(w) >= 8)"
 
 
-@query("contam_passage", f"WITH d AS ({POST.format(k='doc_id', t='documents')}), b AS ({POST.format(k='item_id', t='benchmark')}), r AS (SELECT g FROM b GROUP BY g HAVING count(*) <= 3) SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) SEMI JOIN r USING (g) GROUP BY doc_id, item_id HAVING count(*) >= 5")
+CLASSES = "b AS (" + POST.format(k="item_id", t="benchmark") + "), s AS (SELECT item_id, list_sort(list(g)) AS held FROM b GROUP BY item_id), c AS (SELECT DISTINCT held FROM s), df AS (SELECT g, count(*) AS n FROM (SELECT unnest(held) AS g FROM c) GROUP BY g)"
+
+
+@query("contam_passage", f"WITH d AS ({POST.format(k='doc_id', t='documents')}), {CLASSES}, r AS (SELECT g FROM df WHERE n <= 3) SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) SEMI JOIN r USING (g) GROUP BY doc_id, item_id HAVING count(*) >= 5")
 def contam_passage(spark, d):
     return T.shared_passages(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")
 
 
-@query("shingle_df", f"WITH b AS ({POST.format(k='item_id', t='benchmark')}) SELECT n AS held_by, count(*) AS shingles FROM (SELECT g, count(*) AS n FROM b GROUP BY g) GROUP BY n")
+@query("shingle_df", f"WITH {CLASSES} SELECT n AS held_by, count(*) AS shingles FROM df GROUP BY n")
 def shingle_df(spark, d):
     """Of how many distinct texts each shingle is part: texts with the same set of shingles are one."""
     posted = T.distinct_posts(T.shingle_classes(table(spark, d, "benchmark"), "item_id"))
@@ -111,9 +117,10 @@ def one_per_group(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.min_by("doc_id", F.struct(T.unit(F.col("doc_id").cast("string")), "doc_id")).alias("doc_id"))
 
 
-@query("manifest_counts", "SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'es') AS es FROM documents GROUP BY source")
+@query("manifest_counts", "SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (toxic IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang")
 def manifest_counts(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(*[F.count_if(F.col("lang") == x).alias(x) for x in ("en", "de", "fr", "es")])
+    rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return rows.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(F.col("n_chars").cast("long")).alias("chars"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic").isNull()).alias("unlabelled"))
 
 
 @query("filter_too_long", "SELECT source, count(*) AS kept FROM documents WHERE length(text) <= 3000 GROUP BY source")
@@ -162,14 +169,41 @@ def latency_percentiles(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(rounded(F.percentile("value", F.lit(0.5))).alias("p50"), rounded(F.percentile("value", F.lit(0.95))).alias("p95"))
 
 
-@query("convert_preference", "SELECT conv_id, arg_max(text, turn) AS answer, count(*) AS turns FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
-def convert_preference(spark, d):
-    return table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer"), F.count("*").alias("turns"))
+MARK = "chr(10) || chr(10) || 'Assistant:'"
+PREFERENCE = f"""WITH t AS (SELECT conv_id, turn, role, text FROM conversations),
+c AS (SELECT a.conv_id, 'Human: ' || a.text || {MARK} || ' ' || b.text AS chosen, 'Human: ' || a.text || {MARK} || ' ' || coalesce(c.text, b.text) AS rejected
+  FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 LEFT JOIN t c ON a.conv_id = c.conv_id AND c.turn = a.turn + 3 WHERE a.turn = 0),
+p AS (SELECT *, length(chosen) - length(regexp_replace(chosen, '(?s)^.*\\n\\nAssistant:', '')) AS after FROM c WHERE contains(chosen, {MARK})),
+q AS (SELECT conv_id, trim(substr(chosen, 1, after - 12)) AS state, trim(substr(chosen, after + 1)) AS a, trim(substr(rejected, after + 1)) AS b
+  FROM p WHERE starts_with(rejected, substr(chosen, 1, after - 12)))
+SELECT conv_id, sha256(state) AS state, sha256(a) AS o1, sha256(b) AS o2 FROM q WHERE a <> '' AND b <> '' AND a <> b"""
 
 
-@query("answers_last_wins", "SELECT conv_id, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
+@query("convert_preference", PREFERENCE)
+def convert_preference(spark, d):
+    """Dialogues that differ after their last `Assistant:`: the answers to the first turn, the later one rejected."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    at = lambda k, name: turns.select("conv_id", (F.col("turn") - k).alias("turn"), F.col("text").alias(name))
+    both = at(0, "asked").where("turn = 0").join(at(1, "first"), ["conv_id", "turn"]).join(at(3, "second"), ["conv_id", "turn"], "left")
+    say = lambda x: F.concat(F.lit("Human: "), F.col("asked"), F.lit("\n\nAssistant: "), x)
+    rows = both.select("conv_id", say(F.col("first")).alias("chosen"), say(F.coalesce("second", "first")).alias("rejected"))
+    found = preference(rows, "conv_id")
+    return found.select("conv_id", *[F.sha2(F.col(c).cast("binary"), 256).alias(c) for c in ("state", "o1", "o2")])
+
+
+def preference(rows: DataFrame, key: str) -> DataFrame:
+    """key, state, o1 (chosen) and o2 (rejected) of pairs of dialogues with a common beginning up to the last `Assistant:`; others go."""
+    mark, chosen = "\n\nAssistant:", F.col("chosen")
+    cut = F.length(F.regexp_extract(chosen, r"(?s)^(.*)\n\nAssistant:", 1))
+    kept = rows.where(F.instr(chosen, mark) > 0).withColumn("cut", cut).where(F.startswith("rejected", F.substring(chosen, F.lit(1), F.col("cut"))))
+    tail = lambda c: F.trim(F.substring(F.col(c), F.col("cut") + len(mark) + 1, F.length(c)))
+    out = kept.select(key, F.trim(F.substring(chosen, F.lit(1), F.col("cut"))).alias("state"), tail("chosen").alias("o1"), tail("rejected").alias("o2"))
+    return out.where("o1 <> '' AND o2 <> '' AND o1 <> o2")
+
+
+@query("answers_last_wins", "SELECT conv_id, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text DESC) AS r FROM conversations) WHERE r = 1")
 def answers_last_wins(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("text"))
+    return table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.max_by("text", F.struct("turn", "text")).alias("text"))
 
 
 MONTH = "date_trunc('month', l_shipdate)"
