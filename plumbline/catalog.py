@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from plumbline.plans import corpus, decisions, models, texts, tiers  # noqa: F401  registers the queries
+    from plumbline.plans import corpus, decisions, evaluation, models, texts, tiers  # noqa: F401  registers the queries
 
 
 def queries() -> dict[str, Callable]:
