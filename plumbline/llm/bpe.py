@@ -220,7 +220,8 @@ def _cut(pattern: str, ranks, common):
     listed = pa.list_(pa.list_(pa.int16())), pa.list_(pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, schema, often = regex.compile(pattern), {}, None, common.value
+        find, schema, often = regex.compile(pattern), None, common.value
+        known, runs, most = dict(often), {}, len(often) + KNOWN
 
         def rows(new: list[bytes | list[int]]) -> Iterator[pa.RecordBatch]:
             pieces, given, _ = packed(new)
@@ -256,20 +257,28 @@ def _cut(pattern: str, ranks, common):
             texts, begin, size, numbers, new, anew = batch.column("text"), 0, 0, [], [], False
             for i in range(len(texts)):
                 text = texts[i].as_py() or ""
-                if len(known) > KNOWN and not numbers:
-                    known, anew, used[0] = {}, True, len(often)
-                line = []
-                for x in find.findall(text):
-                    n = often.get(x)
-                    if n is None:
+                if len(known) > most and not numbers:
+                    known, runs, anew, used[0] = dict(often), {}, True, len(often)
+                pieces = find.findall(text)
+                line = list(map(known.get, pieces))
+                if None in line:  # pieces that are new, or several tokens' runs
+                    line = []
+                    for x in pieces:
                         n = known.get(x)
-                    if n is None:
-                        n = add(x)
-                        n = known[x] = n[0] if len(n) == 1 else n
-                    line.append(n) if type(n) is int else line.extend(n)
+                        if n is not None:
+                            line.append(n)
+                        elif x in runs:
+                            line.extend(runs[x])
+                        else:
+                            several = add(x)
+                            line.extend(several)
+                            if len(several) == 1:
+                                known[x] = several[0]
+                            else:
+                                runs[x] = several
                 numbers.append(line)
                 size += len(text)
-                if size >= TEXT_BYTES or len(known) > KNOWN or i + 1 == len(texts):
+                if size >= TEXT_BYTES or len(known) > most or i + 1 == len(texts):
                     yield from flush(batch.column("row").slice(begin, i + 1 - begin), numbers, new, anew)
                     begin, size, numbers, new, anew = i + 1, 0, [], [], False
 

@@ -205,14 +205,14 @@ def dealt(sig: np.ndarray, node: np.ndarray, sketch: np.ndarray, buckets: int, l
     return at, home[at], bucket
 
 
-def _tally_size(n: np.ndarray) -> np.ndarray:
-    """A power of two, from n / 8 to n / 4; 64 at least."""
-    return np.maximum(64, 1 << np.maximum(0, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) - 2))
+def _tally_size(n: np.ndarray, fine: bool = False) -> np.ndarray:
+    """A power of two, from n / 8 to n / 4 (or from n / 2 to n); 64 at least."""
+    return np.maximum(64, 1 << np.maximum(0, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) - (0 if fine else 2)))
 
 
-def tally(tokens: np.ndarray) -> np.ndarray:
+def tally(tokens: np.ndarray, fine: bool = False) -> np.ndarray:
     """How many tokens, 255 at most, fall into each of a number of groups."""
-    groups = int(_tally_size(np.array([len(tokens)]))[0])
+    groups = int(_tally_size(np.array([len(tokens)]), fine)[0])
     return np.minimum(np.bincount((mix(tokens ^ U(0x1CE4E5B9BF58476D)) & U(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
 
@@ -388,7 +388,7 @@ class Join:
         asked = need.select(bucket).distinct()
         texts = self.docs.withColumn("bucket", bucket).join(F.broadcast(asked), "bucket", "left_semi").drop("bucket")
         more, words = [c for c in need.columns if c not in ("id", "node")], self.words
-        names = ["node", *more, "tokens"]
+        names = ["node", *more, "n", "fine", "tokens"]
 
         def arrays(batches):
             known, part = set(), _Part(words)
@@ -398,10 +398,11 @@ class Join:
                     keep = [i for i, s in enumerate(sets) if nodes[lo + i] not in known and len(s) and set_key(s) == nodes[lo + i]]
                     known.update(nodes[lo + i] for i in keep)
                     at = pa.array([lo + i for i in keep], pa.int64())
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in names[:-1]], pa.array([blob(sets[i]) for i in keep], pa.binary())], names=names)
+                    made = [pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([blob(tally(sets[i], True)) for i in keep], pa.binary()), pa.array([blob(sets[i]) for i in keep], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in names[:-3]], *made], names=names)
 
-        fields = ", ".join(f"{c} long" for c in names[:-1])
-        return self.tables.put(texts.join(need, "id").mapInArrow(arrays, f"{fields}, tokens binary"), name)
+        fields = ", ".join(f"{c} long" for c in names[:-2])
+        return self.tables.put(texts.join(need, "id").mapInArrow(arrays, f"{fields}, fine binary, tokens binary"), name)
 
     def _verified(self, pairs: DataFrame, waiting: DataFrame | None) -> DataFrame:
         """Of the pairs, those that link. Tallies rule most others out beforehand; the rest compare their sets."""
@@ -413,17 +414,20 @@ class Join:
                 keep = pa.array([i for i in range(len(x)) if can_be_similar(x[i], y[i], total[i])], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
 
-        if waiting is None:
-            x, y = (self.nodes.select(F.col("node").alias(e), F.col("n").alias(c + "n"), F.col("tally").alias(c)) for e, c in (("a", "x"), ("b", "y")))
+        def likely(some: DataFrame, told: DataFrame) -> DataFrame:
+            x, y = (told.select(F.col("node").alias(e), F.col("n").alias(c + "n"), F.col(told.columns[-1]).alias(c)) for e, c in (("a", "x"), ("b", "y")))
             like = "5 * least(xn, yn) >= 4 * greatest(xn, yn)"
-            pairs = pairs.join(x, "a").join(y, "b").where(like).select("a", "b", "xn", "yn", "x", "y").mapInArrow(near, "a long, b long")
-        pairs = self.tables.put(pairs, "near")
+            return some.join(x, "a").join(y, "b").where(like).select("a", "b", "xn", "yn", "x", "y").mapInArrow(near, "a long, b long")
+
         if waiting is None:
+            pairs = self.tables.put(likely(pairs, self.nodes.select("node", "n", "tally")), "near")
             ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
             need = self.tables.put(ends.join(self.nodes, "node").select(F.col("rep").alias("id"), "node"), "need")
             sets = self._arrays(need, "arrays")
         else:
-            sets = waiting.select("node", "tokens")
+            sets = waiting.drop("component")
+        pairs = self.tables.put(likely(pairs, sets.select("node", "n", "fine")), "close")
+        sets = sets.select("node", "tokens")
         # Nodes are dealt into sides, and a pair goes to the block of its two sides, with the sets that the block's
         # pairs are of: a set travels once for each block and not once for each pair.
         size = sets.agg(F.sum(F.octet_length("tokens").cast("long"))).first()[0] or 0
@@ -440,16 +444,16 @@ class Join:
 
         told = ends.join(sets, "node").select(F.col("block").alias("of"), "node", "tokens")
         linked = self.tables.put(dealt_pairs.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(link, "a long, b long"), "verified")
-        self.tables.drop("arrays", "near", "need")
+        self.tables.drop("arrays", "near", "close", "need")
         return linked
 
     def _waiting(self, listed: DataFrame, before: DataFrame | None) -> DataFrame:
-        """node, component and tokens of the members of listed signatures that hold more than one component."""
+        """node, component, n, fine tally and tokens of the members of listed signatures that hold more than one component."""
         named = listed.join(self.found, listed["a"] == self.found["node"], "left").select("sig", F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))
         split = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
         members = self.tables.put(named.join(split, "sig", "left_semi").select("node", "component").distinct(), "members")
         if before is not None:
-            return self.tables.put(members.join(before.select("node", "tokens"), "node").repartition("node"), "waiting")
+            return self.tables.put(members.join(before.drop("component"), "node").repartition("node"), "waiting")
         need = self.tables.put(members.join(self.nodes, "node").select(F.col("rep").alias("id"), "node", "component"), "need")
         return self._arrays(need, "waiting")
 
