@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: shuffles go with their query, and what a Python worker gets at once is bounded.
+WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,14 +38,15 @@ class Tables:
     def put(self, frame: DataFrame, name: str) -> DataFrame:
         """The frame, written and read again; what was shuffled for it goes once it is written."""
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
-        before = self.spark.conf.get(CLEANUP, None)
-        if before is not None:
-            self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k, None) for k in WHILE}
+        known = {k: v for k, v in before.items() if v is not None}
+        for k in known:
+            self.spark.conf.set(k, WHILE[k])
         try:
             frame.write.parquet(path)
         finally:
-            if before is not None:
-                self.spark.conf.set(CLEANUP, before)
+            for k, v in known.items():
+                self.spark.conf.set(k, v)
         self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(frame.schema).parquet(path)
