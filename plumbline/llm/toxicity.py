@@ -26,7 +26,7 @@ from plumbline.llm._text import mix, slices
 BITS = 18
 SIZES = (3, 4, 5, 6)
 #: Bytes of text that are handled at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Texts of either class that the model is fitted on, at most.
 TRAIN_EACH = 1500
 #: Weight of class 1 in training: clean texts that are called toxic cost more than toxic ones that pass.
