@@ -10,8 +10,18 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings while a table is written: shuffles go with their query, and what a Python worker gets at once is bounded.
-WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, USUAL, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Where the session leaves the size of Arrow batches at its default, long rows go to Python workers in smaller ones.
+
+    A batch is held by the executor's JVM, twice while it grows, and by the worker; rows with whole texts reach the
+    default of 64 MB for each task.
+    """
+    if spark.conf.get(BATCH, None) == USUAL:
+        spark.conf.set(BATCH, SMALL)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,15 +48,15 @@ class Tables:
     def put(self, frame: DataFrame, name: str) -> DataFrame:
         """The frame, written and read again; what was shuffled for it goes once it is written."""
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
-        before = {k: self.spark.conf.get(k, None) for k in WHILE}
-        known = {k: v for k, v in before.items() if v is not None}
-        for k in known:
-            self.spark.conf.set(k, WHILE[k])
+        small_batches(self.spark)
+        before = self.spark.conf.get(CLEANUP, None)
+        if before is not None:
+            self.spark.conf.set(CLEANUP, "true")
         try:
             frame.write.parquet(path)
         finally:
-            for k, v in known.items():
-                self.spark.conf.set(k, v)
+            if before is not None:
+                self.spark.conf.set(CLEANUP, before)
         self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(frame.schema).parquet(path)
