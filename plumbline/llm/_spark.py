@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.operators.tables import Tables, scratch
+from plumbline.operators.tables import Tables, scratch, small_batches
 
-__all__ = ["Tables", "annotate", "blob", "scratch", "text_bytes", "unblob", "written"]
+__all__ = ["Tables", "annotate", "blob", "scratch", "small_batches", "text_bytes", "unblob", "written"]
 
 
 def written(frame: DataFrame, what: str) -> DataFrame:
@@ -36,6 +36,7 @@ def annotate(docs: DataFrame, text_col: str, keep: list[str], function, added: s
     function takes a pa.Array of texts and gives a list of arrays, one for each column in added. Keeping the
     input's columns in a struct leaves them free to have any name.
     """
+    small_batches(docs.sparkSession)
     held = F.struct(*[docs[c].alias(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     packed = docs.select(held.alias("row"), docs[text_col].cast("string").alias("text"))
     schema = StructType([packed.schema["row"], *StructType.fromDDL(added).fields])

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from plumbline.llm._spark import text_bytes, written
+from plumbline.llm._spark import small_batches, text_bytes, written
 
 #: Texts that wait for their pieces, at most (a longer text waits alone), and bytes of pieces in a row.
 TEXT_BYTES = 4 << 20
@@ -356,6 +356,7 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, te
     """
     vocabulary, spark = Vocabulary(ranks), docs.sparkSession
     keep = docs.columns if keep is None else keep
+    small_batches(spark)
     held = F.struct(*[docs[c].alias(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     packed = docs.select(held.alias("row"), docs[text_col].cast("string").alias("text"))
     row = StructField("row", packed.schema["row"].dataType, True)  # rows with pieces have none

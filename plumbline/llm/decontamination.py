@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from plumbline.llm._spark import Tables
+from plumbline.llm._spark import Tables, small_batches
 from plumbline.llm._text import ALNUM, Words, covered, runs, slices
 
 BLOCK_BYTES = 8 << 20
@@ -170,6 +170,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     held = F.struct(*[docs[c].alias(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     found = docs.select(held.alias("row"), docs[text_col].cast("string").alias("text"))
     row = found.schema["row"]
+    small_batches(docs.sparkSession)
     tables = Tables(docs.sparkSession, "decontamination")
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else items
