@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from plumbline.operators.tables import Tables, scratch, small_batches
 
-__all__ = ["Tables", "annotate", "blob", "scratch", "small_batches", "text_bytes", "unblob", "written"]
+__all__ = ["Tables", "annotate", "blob", "release", "scratch", "small_batches", "text_bytes", "unblob", "written"]
 
 
 def written(frame: DataFrame, what: str) -> DataFrame:
@@ -30,6 +30,11 @@ def unblob(column: pa.Array | pa.ChunkedArray, dtype=np.uint64) -> list[np.ndarr
     return [np.frombuffer(x.as_buffer(), dtype) for x in (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)]
 
 
+def release() -> None:
+    """What this worker's Arrow holds in reserve goes back to the system, as workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def annotate(docs: DataFrame, text_col: str, keep: list[str], function, added: str) -> DataFrame:
     """The kept columns as the struct `row`, next to the columns that function makes of the texts.
 
@@ -44,6 +49,7 @@ def annotate(docs: DataFrame, text_col: str, keep: list[str], function, added: s
 
     def run(batches):
         for batch in batches:
+            release()
             texts = batch.column("text")
             yield pa.RecordBatch.from_arrays([batch.column("row"), *function(texts)], names=names)
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from plumbline.llm._spark import small_batches, text_bytes, written
+from plumbline.llm._spark import release, small_batches, text_bytes, written
 
 #: Texts that wait for their pieces, at most (a longer text waits alone), and bytes of pieces in a row.
 TEXT_BYTES = 4 << 20
@@ -307,6 +307,7 @@ def _string(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatc
                 new.clear()
 
     for batch in batches:
+        release()
         numbers, pieces, anew = batch.column("numbers"), batch.column("ids"), batch.column("anew")
         texts = []
         for i in range(batch.num_rows):

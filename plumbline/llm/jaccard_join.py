@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._spark import Tables, annotate, blob, text_bytes, unblob
+from plumbline.llm._spark import Tables, annotate, blob, release, text_bytes, unblob
 from plumbline.llm._text import Words, mix, rolling, slices, window_starts
 from plumbline.operators.components import components
 
 U = np.uint64
 SKETCH = 1 << 18
 CHUNK_BYTES = 1 << 20
-BUCKET_ENTRIES = 3 << 18
+BUCKET_ENTRIES = 1 << 19
 #: Sets that are compared in one task, by their size.
 BLOCK_BYTES = 32 << 20
 #: Entries of a signature that are all paired at once in the first round; the limit grows from round to round.
@@ -180,10 +180,16 @@ def _compared(few: np.ndarray, many: np.ndarray, order: np.ndarray, told: tuple)
     """For each of few, which of many can be similar by their tallies."""
     tallies, sizes, number = told
     x, y = number[order[few]], number[order[many]]
-    least = min(min(len(tallies[i]) for i in x.tolist()), min(len(tallies[i]) for i in y.tolist()))
-    fold = lambda at: np.stack([np.minimum(tallies[i].reshape(-1, least).sum(0, dtype=np.int32), 255) for i in at.tolist()]).astype(np.int16)
-    left, right = fold(x), fold(y)
-    return lambda k: (9 * np.abs(right - left[k]).sum(1, dtype=np.int64) <= sizes[x[k]] + sizes[y]) & (5 * np.minimum(sizes[x[k]], sizes[y]) >= 4 * np.maximum(sizes[x[k]], sizes[y]))
+    least = min(512, min(len(tallies[i]) for i in x.tolist()), min(len(tallies[i]) for i in y.tolist()))
+    fold = lambda at: np.stack([np.minimum(tallies[i].reshape(-1, least).sum(0, dtype=np.int32), 255).astype(np.uint8) for i in at.tolist()])
+    left, right = fold(x).astype(np.int16), fold(y)
+
+    def near(k: int) -> np.ndarray:
+        apart = [np.abs(right[i : i + 4096] - left[k]).sum(1, dtype=np.int64) for i in range(0, len(right), 4096)]
+        alike = 5 * np.minimum(sizes[x[k]], sizes[y]) >= 4 * np.maximum(sizes[x[k]], sizes[y])
+        return (9 * np.concatenate(apart) <= sizes[x[k]] + sizes[y]) & alike
+
+    return near
 
 
 def slot(sig: np.ndarray) -> np.ndarray:
@@ -284,6 +290,7 @@ class Join:
                             known.add(keys[-1])
                             np.add.at(total, slot(partition(s, bands(len(s)))[4]), 1)
                     known = known if len(known) < SENT else set()
+                    release()
                     yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(tallies, pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
             blocks = _blocks(total)
             none = [pa.nulls(blocks.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
@@ -371,6 +378,7 @@ class Join:
                 number = np.repeat(np.arange(sum(map(len, counts))), np.concatenate(counts))
                 told = [t for x in each for t in x], np.concatenate(unblob(table["sizes"], np.int32)).astype(np.int64), number
             pairs, large = pair_up(sig, nodes, groups, small, sketch.value[slot(sig)] > limit, told)
+            release()
             return pa.table({
                 "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(nodes[large])]), "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(large), pa.int64())]),
                 "sig": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array((sig[large] >> U(4)).view(np.int64))]),
@@ -440,6 +448,7 @@ class Join:
             known = dict(zip(told["node"].to_pylist(), unblob(told["tokens"]), strict=True)) if told.num_rows else {}
             rows = zip(some["a"].to_pylist(), some["b"].to_pylist(), strict=True)
             linked = np.array([x for x in rows if similar(known[x[0]], known[x[1]])], np.int64).reshape(-1, 2)
+            release()
             return pa.table({"a": linked[:, 0], "b": linked[:, 1]})
 
         told = ends.join(sets, "node").select(F.col("block").alias("of"), "node", "tokens")
