@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +33,11 @@ def unblob(column: pa.Array | pa.ChunkedArray, dtype=np.uint64) -> list[np.ndarr
 
 
 def release() -> None:
-    """What this worker's Arrow holds in reserve goes back to the system, as workers live on between stages."""
+    """What this worker holds in reserve goes back to the system, as workers live on between stages."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if trim is not None:
+        trim(0)
 
 
 def annotate(docs: DataFrame, text_col: str, keep: list[str], function, added: str) -> DataFrame:
@@ -52,5 +57,6 @@ def annotate(docs: DataFrame, text_col: str, keep: list[str], function, added: s
             release()
             texts = batch.column("text")
             yield pa.RecordBatch.from_arrays([batch.column("row"), *function(texts)], names=names)
+        release()
 
     return packed.mapInArrow(run, schema)

@@ -281,6 +281,8 @@ def _cut(pattern: str, ranks, common):
                 if size >= TEXT_BYTES or len(known) > most or i + 1 == len(texts):
                     yield from flush(batch.column("row").slice(begin, i + 1 - begin), numbers, new, anew)
                     begin, size, numbers, new, anew = i + 1, 0, [], [], False
+        known, runs = {}, {}
+        release()
 
     return run
 

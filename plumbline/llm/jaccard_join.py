@@ -292,6 +292,8 @@ class Join:
                     known = known if len(known) < SENT else set()
                     release()
                     yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(tallies, pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+            known.clear()
+            release()
             blocks = _blocks(total)
             none = [pa.nulls(blocks.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, *blocks.columns], names=names)
