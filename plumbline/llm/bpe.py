@@ -34,7 +34,7 @@ from pyspark.sql.types import StructField, StructType
 from plumbline.llm._spark import release, small_batches, text_bytes, written
 
 #: Texts that wait for their pieces, at most (a longer text waits alone), and bytes of pieces in a row.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 ROW_BYTES = 16 << 10
 #: A task forgets its pieces beyond so many, and sends them anew.
 KNOWN = 1 << 18

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from plumbline.llm._spark import Tables, small_batches
+from plumbline.llm._spark import Tables, release, small_batches
 from plumbline.llm._text import ALNUM, Words, covered, runs, slices
 
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that are searched at once.
+SLICE = 1 << 20
 LANE = 2048
 BITS = 18
 LENGTHS = (3, 6, 12, 24, 48)
@@ -125,7 +127,7 @@ class Searcher:
     def __call__(self, column: pa.Array, before: tuple[list, list] | None = None) -> list[pa.Array]:
         """Word counts, runs of hit words and items of each text, with those that earlier passes found."""
         counts, hits, items = [], [], []
-        for lo, hi in slices(column):
+        for lo, hi in slices(column, SLICE):
             words = Words(column.slice(lo, hi - lo), ALNUM, lower=True)
             text, begin, upto = spaced(words)
             starts, lengths, owners = [], [], [None] * (hi - lo)
@@ -188,6 +190,7 @@ def _pass(searcher, first: bool, names: list[str]):
         search = Searcher(searcher.value)
         for batch in batches:
             before = None if first else (batch.column("hits").to_pylist(), batch.column("items").to_pylist())
+            release()
             made = dict(zip(("n_words", "hits", "items"), search(batch.column("text"), before), strict=True))
             yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names=names)
 
