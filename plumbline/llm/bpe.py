@@ -125,8 +125,8 @@ def rows_of(pairs: dict[tuple[int, int], int], size: int) -> tuple[np.ndarray, n
 
 
 def bound(value: Column, use) -> Column:
-    """use(value), with value computed once, and once in the plan."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    """use(value), with value computed once, and once in the plan: a fold over nothing, which begins with value and ends with use."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, use)
 
 
 class Vocabulary:
@@ -179,21 +179,20 @@ class Vocabulary:
         def entry(a: Column, b: Column) -> Column:
             """The rank of the pair of tokens a and b, and a."""
             found = F.get(table, (F.get(shift, a) + b).cast("int"))
-            return bound(found, lambda x: F.when(F.shiftright(x, ID_BITS) == a, F.shiftleft(token(x), ID_BITS)).otherwise(long(self.none)).bitwiseOR(a))
+            return F.when(F.shiftright(found, ID_BITS) == a, F.shiftleft(token(found), ID_BITS)).otherwise(long(self.none)).bitwiseOR(a)
 
         def step(state: Column, _: Column) -> Column:
-            def merged(low: Column) -> Column:
+            def at_place(at: Column) -> Column:
+                low = F.get(state, at - 1)
                 made = F.shiftright(low, ID_BITS)
-
-                def at_place(at: Column) -> Column:
-                    rest = F.size(state) - at - 1
-                    before = F.when(at > 1, F.concat(F.slice(state, F.lit(1), at - 2), F.array(entry(token(F.get(state, at - 2)), made)))).otherwise(F.array().cast("array<bigint>"))
-                    own = F.when(rest > 0, entry(made, token(F.get(state, at + 1)))).otherwise(made.bitwiseOR(long(self.none)))
-                    return F.concat(before, F.array(own), F.slice(state, at + 2, rest))
-
-                return F.when(low < long(self.none), bound(F.array_position(state, low).cast("int"), at_place)).otherwise(state)
-
-            return bound(F.array_min(state), merged)
+                before = entry(token(F.get(state, at - 2)), made)
+                own = F.when(at + 1 < F.size(state), entry(made, token(F.get(state, at + 1)))).otherwise(made.bitwiseOR(long(self.none)))
+                # Flattening copies an array at a time, where concat goes through a lazy list of elements.
+                first, rest = F.slice(state, F.lit(1), at - 2), F.slice(state, at + 2, n)
+                merged = F.when(at > 1, F.flatten(F.array(first, F.array(before, own), rest))).otherwise(F.flatten(F.array(F.array(own), rest)))
+                return F.when(low < long(self.none), merged).otherwise(state)
+
+            return bound(F.array_position(state, F.array_min(state)).cast("int"), at_place)
 
         begin = F.transform(piece, lambda b, i: F.when(i + 1 < n, F.get(pair, b.cast("int") * 256 + F.get(piece, i + 1))).otherwise(F.get(last, b)))
         folded = F.aggregate(F.slice(piece, F.lit(2), n), begin, step)
