@@ -260,21 +260,20 @@ def _cut(pattern: str, ranks, common):
                     known, runs, anew, used[0] = dict(often), {}, True, len(often)
                 pieces = find.findall(text)
                 line = list(map(known.get, pieces))
-                if None in line:  # pieces that are new, or several tokens' runs
-                    line = []
-                    for x in pieces:
-                        n = known.get(x)
-                        if n is not None:
-                            line.append(n)
-                        elif x in runs:
-                            line.extend(runs[x])
+                at, several = -1, False
+                for _ in range(line.count(None)):  # pieces that are new, or several tokens' runs
+                    at = line.index(None, at + 1)
+                    x = pieces[at]
+                    if x not in known and x not in runs:
+                        made = add(x)
+                        if len(made) == 1:
+                            known[x] = made[0]
                         else:
-                            several = add(x)
-                            line.extend(several)
-                            if len(several) == 1:
-                                known[x] = several[0]
-                            else:
-                                runs[x] = several
+                            runs[x] = made
+                    line[at] = known.get(x)
+                    several |= line[at] is None
+                if several:
+                    line = [m for x, n in zip(pieces, line) for m in ((n,) if n is not None else runs[x])]
                 numbers.append(line)
                 size += len(text)
                 if size >= TEXT_BYTES or len(known) > most or i + 1 == len(texts):
