@@ -316,7 +316,9 @@ class Join:
             return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([blob(total)], pa.binary())})
 
         counted = blocks.groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-        return self.spark.sparkContext.broadcast(np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(counted, key=lambda r: r.block)]) if counted else np.zeros(SKETCH, np.int64))
+        total = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(counted, key=lambda r: r.block)]) if counted else np.zeros(SKETCH, np.int64)
+        # A slot's rare signatures grow in number with the input: what the median slot holds is theirs, the rest is of frequent ones.
+        return self.spark.sparkContext.broadcast(np.maximum(total - int(np.median(total)), 0))
 
     def _recount(self, waiting: DataFrame, seed: int):
         """The sketch of the sets of a later round, under its partition."""
