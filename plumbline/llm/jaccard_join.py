@@ -36,7 +36,7 @@ from plumbline.operators.components import components
 U = np.uint64
 SKETCH = 1 << 18
 CHUNK_BYTES = 1 << 20
-BUCKET_ENTRIES = 1 << 19
+BUCKET_ENTRIES = 1 << 20
 #: Sets that are compared in one task, by their size.
 BLOCK_BYTES = 32 << 20
 #: Entries of a signature that are all paired at once in the first round; the limit grows from round to round.
@@ -99,8 +99,12 @@ def partition(tokens: np.ndarray, band: int, seed: int = 0) -> tuple[np.ndarray,
     return seg, value, sums, salt, mix(sums ^ salt)
 
 
-def entries(tokens: np.ndarray, sketch: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Signatures of a set, with their roles in the four low bits."""
+def entries(tokens: np.ndarray, sketch: np.ndarray, seed: int = 0, noise: float = 0.0) -> np.ndarray:
+    """Signatures of a set, with their roles in the four low bits.
+
+    noise: what a slot of the sketch can be off by. Deletions, of which each is one more entry to send, are
+    taken where they save more than that.
+    """
     n, out = len(tokens), []
     k = bands(n)
     for band, own in ((k, True), (k - 1, False)) if k else ((k, True),):
@@ -110,7 +114,7 @@ def entries(tokens: np.ndarray, sketch: np.ndarray, seed: int = 0) -> np.ndarray
         cost = sketch[slot(exact)].astype(float)
         near = np.flatnonzero(seg < two)
         deleted = mix((sums[seg[near]] - value[near]) ^ salt[seg[near]])
-        more = np.bincount(seg[near], sketch[slot(deleted)] + 1.0, two) + 1
+        more = np.bincount(seg[near], np.maximum(sketch[slot(deleted)] - noise, 0) + 1, two) + 1 + noise
         chosen = np.argsort(np.concatenate([cost, np.maximum(more, cost[:two]) + 0.5]), kind="stable")[:units]
         allotted = np.zeros(m, np.int64)
         np.add.at(allotted, np.where(chosen < m, chosen, chosen - m), 1)
@@ -318,7 +322,8 @@ class Join:
         counted = blocks.groupBy("block").applyInArrow(add, "block int, counts binary").collect()
         total = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(counted, key=lambda r: r.block)]) if counted else np.zeros(SKETCH, np.int64)
         # A slot's rare signatures grow in number with the input: what the median slot holds is theirs, the rest is of frequent ones.
-        return self.spark.sparkContext.broadcast(np.maximum(total - int(np.median(total)), 0))
+        rare = int(np.median(total))
+        return self.spark.sparkContext.broadcast((total - rare, 4 * math.sqrt(rare)))
 
     def _recount(self, waiting: DataFrame, seed: int):
         """The sketch of the sets of a later round, under its partition."""
@@ -365,13 +370,14 @@ class Join:
             for batch in batches:
                 for some in sets_of(batch, part, known):
                     if some:
-                        sigs = [entries(s, sketch.value, seed) for _, _, s in some]
+                        counts, noise = sketch.value
+                        sigs = [entries(s, counts, seed, noise) for _, _, s in some]
                         owner = np.repeat(np.arange(len(some)), [len(x) for x in sigs])
                         tallies = [tally(s) for _, _, s in some] if later else None
-                        yield _rows(np.concatenate(sigs), owner, np.array([x[0] for x in some], np.int64), np.array([x[1] for x in some], np.int64), np.array([len(x[2]) for x in some], np.int32), tallies, sketch.value, buckets, limit)
+                        yield _rows(np.concatenate(sigs), owner, np.array([x[0] for x in some], np.int64), np.array([x[1] for x in some], np.int64), np.array([len(x[2]) for x in some], np.int32), tallies, counts, buckets, limit)
 
         def pair(table: pa.Table) -> pa.Table:
-            counts = unblob(table["counts"], np.uint16)
+            counts = unblob(table["counts"], np.uint8)
             spread = lambda name, kind: np.concatenate([np.repeat(i, c) for i, c in zip(unblob(table[name], kind), counts, strict=True)])
             nodes = spread("nodes", np.int64)
             groups = spread("groups", np.int64) if later else nodes
@@ -381,7 +387,7 @@ class Join:
                 each = [np.split(t, np.cumsum(_tally_size(n))[:-1]) for t, n in zip(unblob(table["tallies"], np.uint8), unblob(table["sizes"], np.int32), strict=True)]
                 number = np.repeat(np.arange(sum(map(len, counts))), np.concatenate(counts))
                 told = [t for x in each for t in x], np.concatenate(unblob(table["sizes"], np.int32)).astype(np.int64), number
-            pairs, large = pair_up(sig, nodes, groups, small, sketch.value[slot(sig)] > limit, told)
+            pairs, large = pair_up(sig, nodes, groups, small, sketch.value[0][slot(sig)] > limit, told)
             release()
             return pa.table({
                 "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(nodes[large])]), "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(large), pa.int64())]),
@@ -502,14 +508,14 @@ def _rows(sig, owner, nodes, groups, sizes, tallies, sketch, buckets, limit) ->
     rows = {"bucket": bucket[cuts[:-1]], "home": home[cuts[:-1]], **{c: [] for c in ("nodes", "groups", "sizes", "tallies", "counts", "sigs")}}
     for a, b in itertools.pairwise(cuts.tolist()):
         who = owner[at[a:b]]
-        # A count has 16 bits; a set with more entries in a bucket is listed again.
-        first = np.unique(np.concatenate([np.flatnonzero(np.diff(who, prepend=-1)), np.arange(0, b - a, 1 << 15)]))
+        # A count has 8 bits; a set with more entries in a bucket is listed again.
+        first = np.unique(np.concatenate([np.flatnonzero(np.diff(who, prepend=-1)), np.arange(0, b - a, 255)]))
         named = who[first]
         rows["nodes"].append(blob(nodes[named]))
         rows["groups"].append(blob(groups[named]) if tallies else b"")
         rows["sizes"].append(blob(sizes[named]) if tallies else b"")
         rows["tallies"].append(b"".join(blob(tallies[i]) for i in named.tolist()) if tallies else b"")
-        rows["counts"].append(blob(np.diff(np.append(first, b - a)).astype(np.uint16)))
+        rows["counts"].append(blob(np.diff(np.append(first, b - a)).astype(np.uint8)))
         rows["sigs"].append(blob((sig[at[a:b]] & LOW).astype(np.uint32)))
     return pa.RecordBatch.from_arrays([pa.array(rows[c], pa.int32()) if c in ("bucket", "home") else pa.array(rows[c], pa.binary()) for c in rows], names=list(rows))
 
