@@ -36,7 +36,7 @@ from plumbline.operators.components import components
 U = np.uint64
 SKETCH = 1 << 18
 CHUNK_BYTES = 1 << 20
-BUCKET_ENTRIES = 1 << 20
+BUCKET_ENTRIES = 1 << 21
 #: Sets that are compared in one task, by their size.
 BLOCK_BYTES = 32 << 20
 #: Entries of a signature that are all paired at once in the first round; the limit grows from round to round.
