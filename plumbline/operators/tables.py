@@ -8,19 +8,31 @@ import uuid
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH, USUAL, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
 
+def setting(spark: SparkSession, key: str) -> str | None:
+    """A setting, or its default; None where this Spark has no such setting.
+
+    spark.conf.get(key, None) gives None for each setting that the session leaves at its default.
+    """
+    try:
+        return spark.conf.get(key)
+    except PySparkException:
+        return None
+
+
 def small_batches(spark: SparkSession) -> None:
     """Where the session leaves the size of Arrow batches at its default, long rows go to Python workers in smaller ones.
 
     A batch is held by the executor's JVM, twice while it grows, and by the worker; rows with whole texts reach the
     default of 64 MB for each task.
     """
-    if spark.conf.get(BATCH, None) == USUAL:
+    if setting(spark, BATCH) == USUAL:
         spark.conf.set(BATCH, SMALL)
 
 
@@ -49,7 +61,7 @@ class Tables:
         """The frame, written and read again; what was shuffled for it goes once it is written."""
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
         small_batches(self.spark)
-        before = self.spark.conf.get(CLEANUP, None)
+        before = setting(self.spark, CLEANUP)
         if before is not None:
             self.spark.conf.set(CLEANUP, "true")
         try:
