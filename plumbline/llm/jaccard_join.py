@@ -264,7 +264,7 @@ class Join:
             if not waiting.take(1):
                 break
             small, seed = small * GROWTH, seed + 1
-        self.tables.drop("pairs", "waiting", "verified")
+        self.tables.drop("pairs", "waiting", "verified", "listed", "members", "need")
 
     def _merge(self, links: DataFrame) -> None:
         """Put links between nodes into found: only components that they touch are looked at."""
@@ -397,7 +397,7 @@ class Join:
         sent = (waiting if later else self.docs.where("id IS NOT NULL")).mapInArrow(send, "bucket int, home int, nodes binary, groups binary, sizes binary, tallies binary, counts binary, sigs binary")
         return self.tables.put(sent.groupBy("bucket").applyInArrow(pair, "a long, b long, sig long"), "pairs")
 
-    def _arrays(self, need: DataFrame, name: str) -> DataFrame:
+    def _arrays(self, need: DataFrame) -> DataFrame:
         """The columns of need (id, node and more) with the sets, from the texts.
 
         The texts that aren't asked for go before any moves: by a broadcast of at most FILTER buckets of ids.
@@ -405,8 +405,8 @@ class Join:
         bucket = F.pmod(F.xxhash64("id"), F.lit(FILTER)).cast("int").alias("bucket")
         asked = need.select(bucket).distinct()
         texts = self.docs.withColumn("bucket", bucket).join(F.broadcast(asked), "bucket", "left_semi").drop("bucket")
-        more, words = [c for c in need.columns if c not in ("id", "node")], self.words
-        names = ["node", *more, "n", "fine", "tokens"]
+        more, words = [f for f in need.schema if f.name not in ("id", "node")], self.words
+        names = ["node", *[f.name for f in more], "n", "fine", "tokens"]
 
         def arrays(batches):
             known, part = set(), _Part(words)
@@ -419,8 +419,8 @@ class Join:
                     made = [pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([blob(tally(sets[i], True)) for i in keep], pa.binary()), pa.array([blob(sets[i]) for i in keep], pa.binary())]
                     yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in names[:-3]], *made], names=names)
 
-        fields = ", ".join(f"{c} long" for c in names[:-2])
-        return self.tables.put(texts.join(need, "id").mapInArrow(arrays, f"{fields}, fine binary, tokens binary"), name)
+        fields = ", ".join(["node long", *[f"{f.name} {f.dataType.simpleString()}" for f in more]])
+        return texts.join(need, "id").mapInArrow(arrays, f"{fields}, n long, fine binary, tokens binary")
 
     def _verified(self, pairs: DataFrame, waiting: DataFrame | None) -> DataFrame:
         """Of the pairs, those that link. Tallies rule most others out beforehand; the rest compare their sets."""
@@ -440,15 +440,14 @@ class Join:
         if waiting is None:
             pairs = self.tables.put(likely(pairs, self.nodes.select("node", "n", "tally")), "near")
             ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            need = self.tables.put(ends.join(self.nodes, "node").select(F.col("rep").alias("id"), "node"), "need")
-            sets = self._arrays(need, "arrays")
+            need = self.tables.put(ends.join(self.nodes, "node").select(F.col("rep").alias("id"), "node", "n"), "need")
+            size = 8 * (need.agg(F.sum("n")).first()[0] or 0)
         else:
-            sets = waiting.drop("component")
-        pairs = self.tables.put(likely(pairs, sets.select("node", "n", "fine")), "close")
-        sets = sets.select("node", "tokens")
+            pairs = self.tables.put(likely(pairs, waiting.select("node", "n", "fine")), "close")
+            size = waiting.agg(F.sum(F.octet_length("tokens").cast("long"))).first()[0] or 0
         # Nodes are dealt into sides, and a pair goes to the block of its two sides, with the sets that the block's
-        # pairs are of: a set travels once for each block and not once for each pair.
-        size = sets.agg(F.sum(F.octet_length("tokens").cast("long"))).first()[0] or 0
+        # pairs are of: a set travels once for each block and not once for each pair. In the first round it goes
+        # there from its text.
         sides = max(6, math.ceil(2 * size / BLOCK_BYTES))
         side = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
         dealt_pairs = pairs.withColumn("block", side("a") * sides + side("b"))
@@ -456,25 +455,31 @@ class Join:
 
         def link(some: pa.Table, told: pa.Table) -> pa.Table:
             known = dict(zip(told["node"].to_pylist(), unblob(told["tokens"]), strict=True)) if told.num_rows else {}
+            fine = dict(zip(told["node"].to_pylist(), unblob(told["fine"], np.uint8), strict=True)) if told.num_rows else {}
             rows = zip(some["a"].to_pylist(), some["b"].to_pylist(), strict=True)
-            linked = np.array([x for x in rows if similar(known[x[0]], known[x[1]])], np.int64).reshape(-1, 2)
+            linked = [(a, b) for a, b in rows if can_be_similar(fine[a], fine[b], len(known[a]) + len(known[b])) and similar(known[a], known[b])]
+            linked = np.array(linked, np.int64).reshape(-1, 2)
             release()
             return pa.table({"a": linked[:, 0], "b": linked[:, 1]})
 
-        told = ends.join(sets, "node").select(F.col("block").alias("of"), "node", "tokens")
+        if waiting is None:
+            blocks = ends.groupBy("node").agg(F.collect_list("block").alias("blocks"))
+            told = self._arrays(need.drop("n").join(blocks, "node")).select(F.explode("blocks").alias("of"), "node", "fine", "tokens")
+        else:
+            told = ends.join(waiting, "node").select(F.col("block").alias("of"), "node", "fine", "tokens")
         linked = self.tables.put(dealt_pairs.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(link, "a long, b long"), "verified")
-        self.tables.drop("arrays", "near", "close", "need")
+        self.tables.drop("near", "close", "need")
         return linked
 
     def _waiting(self, listed: DataFrame, before: DataFrame | None) -> DataFrame:
         """node, component, n, fine tally and tokens of the members of listed signatures that hold more than one component."""
-        named = listed.join(self.found, listed["a"] == self.found["node"], "left").select("sig", F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))
+        named = self.tables.put(listed.join(self.found, listed["a"] == self.found["node"], "left").select("sig", F.col("a").alias("node"), F.coalesce("component", "a").alias("component")), "listed")
         split = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
         members = self.tables.put(named.join(split, "sig", "left_semi").select("node", "component").distinct(), "members")
         if before is not None:
             return self.tables.put(members.join(before.drop("component"), "node").repartition("node"), "waiting")
         need = self.tables.put(members.join(self.nodes, "node").select(F.col("rep").alias("id"), "node", "component"), "need")
-        return self._arrays(need, "waiting")
+        return self.tables.put(self._arrays(need), "waiting")
 
     def components(self) -> DataFrame:
         """node, rep, component (a node) of every node."""
