@@ -123,3 +123,11 @@ def test_tallies_never_rule_out_similar_sets():
                 assert jaccard_join.can_be_similar(jaccard_join.tally(x), jaccard_join.tally(y), len(x) + len(y))
     a, b = (rng.integers(1, 2**63, 500).astype(np.uint64) for _ in range(2))
     assert not jaccard_join.can_be_similar(jaccard_join.tally(a), jaccard_join.tally(b), 1000)
+
+
+def test_listed_members_are_named_once(spark, monkeypatch):
+    put, names = jaccard_join.Tables.put, []
+    monkeypatch.setattr(jaccard_join.Tables, "put", lambda self, frame, name: (names.append(name), put(self, frame, name))[1])
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    check(spark, make(random.Random(11), 2, [30], 12))
+    assert "listed" in names and "arrays" not in names
