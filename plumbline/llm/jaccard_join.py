@@ -37,6 +37,8 @@ U = np.uint64
 SKETCH = 1 << 18
 CHUNK_BYTES = 1 << 20
 BUCKET_ENTRIES = 1 << 21
+#: Entries of a bucket that are paired at once, and pairs after which repeats are dropped.
+PART_ENTRIES, PART_PAIRS = 1 << 18, 1 << 18
 #: Sets that are compared in one task, by their size.
 BLOCK_BYTES = 32 << 20
 #: Entries of a signature that are all paired at once in the first round; the limit grows from round to round.
@@ -144,10 +146,10 @@ def pair_up(sig: np.ndarray, nodes: np.ndarray, groups: np.ndarray, small: int,
     """
     order = np.lexsort((mix(nodes.view(U)), sig >> U(4)))
     sig, nodes, groups, split = sig[order], nodes[order], groups[order], split[order]
-    role, key = (sig & U(15)).astype(np.int64), sig >> U(4)
+    role, key = (sig & U(15)).astype(np.uint8), sig >> U(4)
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(begin, len(key)))
-    pairs, large = [], []
+    pairs, large, held, most = [], [], 0, PART_PAIRS
     whole = ~split[begin]
     vectorised = min(small, 6) if told is None else 1
     for s in range(2, vectorised + 1):
@@ -175,9 +177,59 @@ def pair_up(sig: np.ndarray, nodes: np.ndarray, groups: np.ndarray, small: int,
                 for k, i in enumerate(few.tolist()):
                     z = many[(groups[many] != groups[i]) & (near(k) if near else True)]
                     pairs.append(np.stack([np.full(len(z), nodes[i]), nodes[z]], 1))
-    found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-    found = np.unique(np.sort(found, 1), axis=0) if len(found) else found
-    return found, np.concatenate(large) if large else np.zeros(0, np.int64)
+                    held += len(z)
+                    if held > most:  # sets that are alike share many signatures
+                        pairs = [distinct(pairs)]
+                        held, most = len(pairs[0]), max(PART_PAIRS, 2 * len(pairs[0]))
+    return distinct(pairs), np.concatenate(large) if large else np.zeros(0, np.int64)
+
+
+def distinct(pairs: list[np.ndarray]) -> np.ndarray:
+    """The pairs of all arrays, each once, the lesser node first; in order."""
+    if not sum(map(len, pairs)):
+        return np.zeros((0, 2), np.int64)
+    found = np.concatenate(pairs)
+    found.sort(axis=1)
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    return found[np.append(True, (found[1:] != found[:-1]).any(1))]
+
+
+def pair_bucket(table: pa.Table, later: bool, small: int, sketch: np.ndarray, limit: int) -> pa.Table:
+    """Rows a, b, sig of a bucket: its pairs, and the members of large signatures.
+
+    Signatures are dealt into parts of about PART_ENTRIES entries, and one part after the other is paired. Until
+    then an entry is its signature and the number of its set among those that the bucket names.
+    """
+    counts, sigs = unblob(table["counts"], np.uint8), unblob(table["sigs"], np.uint32)
+    each = np.concatenate(counts)
+    number = np.repeat(np.arange(len(each), dtype=np.int32), each)
+    sig, part, at = np.empty(len(number), U), np.empty(len(number), np.uint8), 0
+    parts = min(256, 1 << max(0, math.ceil(math.log2(max(1, len(number)) / PART_ENTRIES))))
+    for h, x in zip(table["home"].to_pylist(), sigs, strict=True):
+        sig[at : at + len(x)] = U(h << 32) | x.astype(U)
+        part[at : at + len(x)] = (x >> np.uint32(4)) & np.uint32(parts - 1)
+        at += len(x)
+    nodes = np.concatenate(unblob(table["nodes"], np.int64))
+    groups = np.concatenate(unblob(table["groups"], np.int64)) if later else nodes
+    tallies, sizes = [], None
+    if later:
+        for t, n in zip(unblob(table["tallies"], np.uint8), unblob(table["sizes"], np.int32), strict=True):
+            tallies += np.split(t, np.cumsum(_tally_size(n))[:-1])
+        sizes = np.concatenate(unblob(table["sizes"], np.int32)).astype(np.int64)
+    pairs, members, listed = [], [], []
+    for p in np.flatnonzero(np.bincount(part)).tolist():
+        of = np.flatnonzero(part == p)
+        own, who = sig[of], number[of]
+        told = (tallies, sizes, who) if later else None
+        found, large = pair_up(own, nodes[who], groups[who], small, sketch[slot(own)] > limit, told)
+        pairs.append(found)
+        members.append(nodes[who[large]])
+        listed.append((own[large] >> U(4)).view(np.int64))
+    found, members, listed = distinct(pairs), np.concatenate(members), np.concatenate(listed)
+    return pa.table({
+        "a": pa.concat_arrays([pa.array(found[:, 0]), pa.array(members)]), "b": pa.concat_arrays([pa.array(found[:, 1]), pa.nulls(len(members), pa.int64())]),
+        "sig": pa.concat_arrays([pa.nulls(len(found), pa.int64()), pa.array(listed)]),
+    })
 
 
 def _compared(few: np.ndarray, many: np.ndarray, order: np.ndarray, told: tuple):
@@ -333,6 +385,7 @@ class Join:
             for batch in batches:
                 for s in unblob(batch.column("tokens")):
                     np.add.at(total, slot(partition(s, bands(len(s)), seed)[4]), 1)
+            release()
             yield _blocks(total)
 
         return self._sketch(waiting.select("tokens").mapInArrow(count, "block int, counts binary"))
@@ -375,24 +428,13 @@ class Join:
                         owner = np.repeat(np.arange(len(some)), [len(x) for x in sigs])
                         tallies = [tally(s) for _, _, s in some] if later else None
                         yield _rows(np.concatenate(sigs), owner, np.array([x[0] for x in some], np.int64), np.array([x[1] for x in some], np.int64), np.array([len(x[2]) for x in some], np.int32), tallies, counts, buckets, limit)
+            known.clear()
+            release()
 
         def pair(table: pa.Table) -> pa.Table:
-            counts = unblob(table["counts"], np.uint8)
-            spread = lambda name, kind: np.concatenate([np.repeat(i, c) for i, c in zip(unblob(table[name], kind), counts, strict=True)])
-            nodes = spread("nodes", np.int64)
-            groups = spread("groups", np.int64) if later else nodes
-            sig = np.concatenate([U(h << 32) | x.astype(U) for h, x in zip(table["home"].to_pylist(), unblob(table["sigs"], np.uint32), strict=True)])
-            told = None
-            if later:
-                each = [np.split(t, np.cumsum(_tally_size(n))[:-1]) for t, n in zip(unblob(table["tallies"], np.uint8), unblob(table["sizes"], np.int32), strict=True)]
-                number = np.repeat(np.arange(sum(map(len, counts))), np.concatenate(counts))
-                told = [t for x in each for t in x], np.concatenate(unblob(table["sizes"], np.int32)).astype(np.int64), number
-            pairs, large = pair_up(sig, nodes, groups, small, sketch.value[0][slot(sig)] > limit, told)
+            out = pair_bucket(table, later, small, sketch.value[0], limit)
             release()
-            return pa.table({
-                "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(nodes[large])]), "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(large), pa.int64())]),
-                "sig": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array((sig[large] >> U(4)).view(np.int64))]),
-            })
+            return out
 
         sent = (waiting if later else self.docs.where("id IS NOT NULL")).mapInArrow(send, "bucket int, home int, nodes binary, groups binary, sizes binary, tallies binary, counts binary, sigs binary")
         return self.tables.put(sent.groupBy("bucket").applyInArrow(pair, "a long, b long, sig long"), "pairs")
@@ -418,6 +460,8 @@ class Join:
                     at = pa.array([lo + i for i in keep], pa.int64())
                     made = [pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([blob(tally(sets[i], True)) for i in keep], pa.binary()), pa.array([blob(sets[i]) for i in keep], pa.binary())]
                     yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in names[:-3]], *made], names=names)
+            known.clear()
+            release()
 
         fields = ", ".join(["node long", *[f"{f.name} {f.dataType.simpleString()}" for f in more]])
         return texts.join(need, "id").mapInArrow(arrays, f"{fields}, n long, fine binary, tokens binary")
@@ -431,6 +475,7 @@ class Join:
                 total = (batch.column("xn").to_numpy() + batch.column("yn").to_numpy()).tolist()
                 keep = pa.array([i for i in range(len(x)) if can_be_similar(x[i], y[i], total[i])], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
+            release()
 
         def likely(some: DataFrame, told: DataFrame) -> DataFrame:
             x, y = (told.select(F.col("node").alias(e), F.col("n").alias(c + "n"), F.col(told.columns[-1]).alias(c)) for e, c in (("a", "x"), ("b", "y")))

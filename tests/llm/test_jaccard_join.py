@@ -131,3 +131,48 @@ def test_listed_members_are_named_once(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", 2)
     check(spark, make(random.Random(11), 2, [30], 12))
     assert "listed" in names and "arrays" not in names
+
+
+def peak_mb(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeated_pairs_are_not_all_held():
+    import numpy as np
+
+    sets, sigs = 60, 1500  # each pair of the sets shares each signature
+    sig = np.repeat(np.arange(1, sigs + 1, dtype=np.uint64) << np.uint64(4), sets) | np.uint64(jaccard_join.INDEX | jaccard_join.PROBE)
+    nodes = np.tile(np.arange(sets), sigs)
+    (pairs, large), mb = peak_mb(lambda: jaccard_join.pair_up(sig, nodes, nodes, 64, np.zeros(len(sig), bool)))
+    assert pairs.tolist() == [[a, b] for a in range(sets) for b in range(a + 1, sets)] and not len(large)
+    assert mb < 60, mb  # all repeats at 16 bytes are 42 MB, and twice that as one array
+
+
+def test_parts_of_a_bucket(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(4), 5000
+    pool = (rng.integers(1, 2**20, n, dtype=np.uint64) << np.uint64(8)) | np.uint64(jaccard_join.INDEX | jaccard_join.PROBE)
+    nodes = rng.integers(-(2**62), 2**62, 1500)
+    sig = np.concatenate([pool[rng.integers(0, n, 4 * n)], np.repeat(pool[:3], 300)])
+    owner = np.concatenate([rng.integers(0, 1500, 4 * n), np.tile(np.arange(300), 3)])
+    sketch = np.zeros(jaccard_join.SKETCH, np.int64)
+    for later in (False, True):
+        tallies = [rng.integers(0, 3, 64).astype(np.uint8) for _ in nodes] if later else None
+        table = pa.Table.from_batches([jaccard_join._rows(sig[i::4], owner[i::4], nodes, nodes // 2**60, np.full(1500, 200, np.int32), tallies, sketch, 1, 1 << 16) for i in range(4)])
+        got = []
+        for entries in (1 << 30, 1 << 10):
+            monkeypatch.setattr(jaccard_join, "PART_ENTRIES", entries)
+            out, mb = peak_mb(lambda: jaccard_join.pair_bucket(table, later, 16, sketch, 1 << 16))  # noqa: B023
+            rows = sorted(map(tuple, out.to_pandas().fillna(0).astype("int64").to_numpy().tolist()))
+            assert len(rows) > 500
+            got.append((rows, mb))
+        assert got[0][0] == got[1][0]
+        assert later or got[1][1] < 0.7 * got[0][1], [mb for _, mb in got]
