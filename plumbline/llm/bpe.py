@@ -4,12 +4,12 @@ Texts are cut into pieces by the tokenizer's pattern. A task sends each distinct
 bytes, through a Spark expression that folds the merges over it: of all neighbouring tokens, the pair of the
 lowest rank becomes one token, until no pair has a rank. The fold's state is one array of longs, for each token
 the rank of the pair that it makes with the next one, and the token: the least entry is the leftmost pair to
-merge. The ranks are literals in the plan: one array for pairs of bytes, and for pairs of tokens a map laid out in
-two arrays, where the first token picks the row and the second the place in it. The same rows come back with the
-ids and with the bytes that concatenating the tokens' binary pieces gives, and the task strings its texts together
-from them. No text moves, so nothing is skewed, and the work a task repeats after a loss is its own. Pieces that
-are common in a bounded sample of the texts are folded beforehand, once for all tasks, and broadcast: that saves
-work, and changes no result.
+merge. The ranks are the value of a scalar subquery over a local row, so that no description of a plan spells them
+out: one array for pairs of bytes, and for pairs of tokens a map laid out in two arrays, where the first token
+picks the row and the second the place in it. The same rows come back with the ids and with the bytes that
+concatenating the tokens' binary pieces gives, and the task strings its texts together from them. No text moves, so
+nothing is skewed, and the work a task repeats after a loss is its own. Pieces that are common in a bounded sample
+of the texts are folded beforehand, once for all tasks, and broadcast: that saves work, and changes no result.
 
 Pieces that are a token need no fold and are looked up. As the fold copies its state at each merge, which is
 quadratic in a piece's length, pieces of more than LONG bytes are merged with a heap instead, to the same ids.
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -130,9 +129,12 @@ def bound(value: Column, use) -> Column:
 
 
 class Vocabulary:
-    """Expressions over literal tables of ranks. Every single byte must be a token."""
+    """Expressions over tables of ranks, which a scalar subquery holds. Every single byte must be a token.
 
-    def __init__(self, ranks: dict[bytes, int]):
+    As literals, the tables would be spelt out in each description of a plan, and the driver keeps these.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], spark: SparkSession):
         self.size = max(ranks.values()) + 1
         if self.size >= 1 << ID_BITS or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the ranks need every byte, and ids of at most 18 bits")
@@ -143,33 +145,40 @@ class Vocabulary:
                 if a is not None and b is not None:
                     pairs[a, b] = rank
         shift, table = rows_of(pairs, self.size)
-        # Any second id is a place in the table.
-        self.places = len(table) + self.size
         single = [ranks[bytes([b])] for b in range(256)]
         self.none = self.size << ID_BITS
-        first = [[pairs.get((a, b), self.size) << ID_BITS | a for b in single] for a in single]
-        literal = lambda x: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>")
-        # Parsing JSON is folded into a literal before a query runs.
-        self.shift, self.table = literal(shift.tolist()), literal([*table.tolist(), *[-1] * self.size])
-        self.bytes = literal([x for row in first for x in row])
-        self.last = literal([self.none | a for a in single])
+        first = [pairs.get((a, b), self.size) << ID_BITS | a for a in single for b in single]
         tokens = [b""] * self.size
         for token, rank in ranks.items():
             tokens[rank] = token
-        self.tokens = F.from_json(F.lit(json.dumps([base64.b64encode(x).decode() for x in tokens], separators=(",", ":"))), "array<binary>")
-
-    def encode(self, pieces: Column, given: Column) -> Column:
-        """Token ids of each of the pieces, which are arrays of byte values; where ids are given, these."""
 
+        # Any second id is a place in the table.
+        places = np.concatenate([table, np.full(self.size, -1, np.int64)])
+        tables = {"shift": pa.array(shift), "table": pa.array(places), "pair": pa.array(first, pa.int64()), "last": pa.array([self.none | a for a in single], pa.int64()), "tokens": pa.array(tokens, pa.binary())}
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in tables.values()]
+        self.tables = spark.createDataFrame(pa.table(lists, list(tables))).select(F.struct("*")).scalar()
+
+    def folded(self, frame: DataFrame) -> DataFrame:
+        """The frame with ids and decoded in place of pieces and given.
+
+        ids: token ids of each of the pieces, which are arrays of byte values; where ids are given, these. decoded:
+        the bytes of each of the pieces. A subquery may not be written within a higher-order function, so it is a
+        column first; as one expression uses it once, the optimizer puts it there, and no row carries the tables.
+        """
+        kept = [c for c in frame.columns if c not in ("pieces", "given")]
+        made = bound(F.col("tables"), lambda x: bound(self._ids(x, F.col("pieces"), F.col("given")), lambda ids: F.struct(ids.alias("ids"), self._bytes(x, ids).alias("decoded"))))
+        return frame.withColumn("tables", self.tables).select(*kept, made.alias("made")).select(*kept, "made.ids", "made.decoded")
+
+    def _ids(self, tables: Column, pieces: Column, given: Column) -> Column:
         def each(shift: Column, table: Column, pair: Column, last: Column) -> Column:
             fold = lambda piece: self._encode(piece, shift, table, pair, last)
             return F.zip_with(pieces, given, lambda piece, ids: F.when(F.size(piece) == 0, ids).otherwise(fold(piece)))
 
-        return bound(self.shift, lambda shift: bound(self.table, lambda table: bound(self.bytes, lambda pair: bound(self.last, lambda last: each(shift, table, pair, last)))))
+        return bound(tables["shift"], lambda shift: bound(tables["table"], lambda table: bound(tables["pair"], lambda pair: bound(tables["last"], lambda last: each(shift, table, pair, last)))))
 
-    def decode(self, pieces: Column) -> Column:
-        """The bytes of each of the pieces, which are arrays of token ids: the tokens' bytes, put together."""
-        return bound(self.tokens, lambda tokens: F.transform(pieces, lambda ids: F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.get(tokens, i)))))
+    def _bytes(self, tables: Column, pieces: Column) -> Column:
+        """The tokens' bytes of each of the pieces, put together."""
+        return bound(tables["tokens"], lambda tokens: F.transform(pieces, lambda ids: F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.get(tokens, i)))))
 
     def _encode(self, piece: Column, shift: Column, table: Column, pair: Column, last: Column) -> Column:
         long = lambda x: F.lit(x).cast("long")
@@ -354,7 +363,8 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, te
     and empty texts have no ids and decode to no bytes. Special tokens are ordinary text. Texts and pieces can
     have any length; an empty table gives an empty one. Each task of the scan folds its own distinct pieces.
     """
-    vocabulary, spark = Vocabulary(ranks), docs.sparkSession
+    spark = docs.sparkSession
+    vocabulary = Vocabulary(ranks, spark)
     keep = docs.columns if keep is None else keep
     small_batches(spark)
     held = F.struct(*[docs[c].alias(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
@@ -364,9 +374,9 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, te
     shared = spark.sparkContext.broadcast(ranks)
     names, values = _common(packed, pattern, vocabulary, shared)
     often, strings = spark.sparkContext.broadcast(names), spark.sparkContext.broadcast(values)
+    release()
     cut = packed.mapInArrow(_cut(pattern, shared, often), StructType([row, *StructType.fromDDL("pieces array<array<short>>, given array<array<int>>, numbers array<int>, anew boolean").fields]))
-    ids = cut.withColumn("ids", vocabulary.encode(F.col("pieces"), F.col("given"))).withColumn("decoded", vocabulary.decode(F.col("ids")))
-    return ids.select("row", "numbers", "anew", "ids", "decoded").mapInArrow(lambda batches: _string(batches, strings), StructType([row, *StructType.fromDDL("ids array<int>, decoded binary").fields]))
+    return vocabulary.folded(cut).mapInArrow(lambda batches: _string(batches, strings), StructType([row, *StructType.fromDDL("ids array<int>, decoded binary").fields]))
 
 
 def _common(texts: DataFrame, pattern: str, vocabulary: Vocabulary, ranks) -> tuple[dict[str, int], dict[str, tuple[np.ndarray, np.ndarray]]]:
@@ -401,8 +411,7 @@ def _common(texts: DataFrame, pattern: str, vocabulary: Vocabulary, ranks) -> tu
     best = chosen.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "piece").limit(COMMON)
     best = written(best.select("piece"), "pieces").repartition(max(8, texts.sparkSession.sparkContext.defaultParallelism), "piece")
     spelt = best.mapInArrow(spell, "names array<string>, pieces array<array<short>>, given array<array<int>>")
-    ids = spelt.select("names", vocabulary.encode(F.col("pieces"), F.col("given")).alias("ids"))
-    found = ids.select("names", "ids", vocabulary.decode(F.col("ids")).alias("decoded")).toArrow()
+    found = vocabulary.folded(spelt).toArrow()
     names = found["names"].combine_chunks().flatten().to_pylist()
     lists, blobs = found["ids"].combine_chunks().flatten(), found["decoded"].combine_chunks().flatten()
     starts = lambda lengths: np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._labels import held_out, training_rows
-from plumbline.llm._spark import annotate
+from plumbline.llm._spark import annotate, release
 from plumbline.llm._text import mix, slices
 
 BITS = 18
@@ -207,6 +207,7 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
     so other columns can have any names; an empty table gives an empty one.
     """
     fitted = fit(training_rows(docs, labels, label, train_each, id_col, text_col))
+    release()
     # Arrays, of at most 2**18 entries: executors need not know this package's classes to read them.
     model = docs.sparkSession.sparkContext.broadcast((fitted.known, fitted.weights, fitted.offset))
     found = annotate(docs, text_col, docs.columns if keep is None else keep, lambda texts: [pa.array(Model(*model.value).scores(texts), pa.float64())], "score double")

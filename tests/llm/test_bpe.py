@@ -57,6 +57,14 @@ def test_tokens_that_merges_do_not_make(spark):
     assert bpe.encode_and_decode(docs.limit(0), ranks, P.PATTERN).collect() == []
 
 
+def test_plans_do_not_spell_the_ranks(spark, ranks):
+    """The driver keeps each plan's description; and the tables must stay in the fold, not in the rows."""
+    docs = spark.createDataFrame([(1, "some text zzqxxyk")], "doc_id long, text string")
+    plans = bpe.encode_and_decode(docs, ranks, P.PATTERN)._jdf.queryExecution()
+    assert len(plans.toString()) < 100_000
+    assert "scalar-subquery" in plans.optimizedPlan().toString() and " AS tables#" not in plans.optimizedPlan().toString()
+
+
 def test_query(spark, ranks):
     folder, enc = "/root/testdata/sf0.001", coder(ranks)
     docs = pd.read_parquet(f"{folder}/documents.parquet")
